@@ -1,3 +1,3 @@
 """Imports every plan module so that its queries register."""
 
-from meltwise.plans import feature_queries  # noqa: F401
+from meltwise.plans import feature_queries, metric_queries, validate_queries  # noqa: F401

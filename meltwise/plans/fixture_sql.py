@@ -31,7 +31,7 @@ FIXTURE_SQL: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT l_orderkey, 'Ni', 55.0::DOUBLE FROM lineitem""",
     "f_raw_long": """
-        SELECT entity, component, amount * (0.85::DOUBLE + (entity % 40) / 100.0::DOUBLE) AS amount
+        SELECT entity, component, amount * (0.853::DOUBLE + (entity % 40) / 100.0::DOUBLE) AS amount
         FROM f_comp_long""",
     "f_wide": "SELECT entity, sum(amount) AS total, " + ", ".join(
         f"coalesce(sum(amount) FILTER (component = '{e}'), 0) AS {e.lower()}"

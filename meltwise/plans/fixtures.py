@@ -53,7 +53,7 @@ class Tables:
     @cached_property
     def comp_raw(self) -> DataFrame:
         """As ``comp`` but with totals of 85 to 124, for the closure rules."""
-        scale = 0.85 + (F.col("entity") % 40) / 100.0
+        scale = 0.853 + (F.col("entity") % 40) / 100.0
         return self.comp.select(
             "entity", F.transform_values("composition", lambda _, v: v * scale).alias("composition")
         )
