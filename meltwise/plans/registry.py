@@ -11,7 +11,7 @@ from meltwise.plans.fixtures import Tables
 from meltwise.plans.fixture_sql import FIXTURE_SQL
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {}  # raw text; expand() adds the fixture views
 _NAME = re.compile(r"\bf_[a-z0-9_]+\b")
 
 
@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query registered twice: {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = expand(sql)
+            ORACLES[name] = sql
         return fn
 
     return register
