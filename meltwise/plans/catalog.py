@@ -1,3 +1,3 @@
 """Imports every plan module so that its queries register."""
 
-from meltwise.plans import curation_queries, feature_queries, metric_queries, neighbour_queries, validate_queries  # noqa: F401
+from meltwise.plans import correction_queries, curation_queries, feature_queries, metric_queries, neighbour_queries, validate_queries  # noqa: F401
