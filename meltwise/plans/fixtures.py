@@ -164,7 +164,7 @@ class Tables:
         return self.events.select(
             F.col("user_id").alias("key"),
             F.when(F.col("user_id") % 2 == 0, "evaluate").otherwise("design").alias("kind"),
-            status.alias("status"), "ts", F.col("props").alias("payload"), "event_id",
+            status.alias("status"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("payload"), "event_id",
         )
 
     @cached_property
