@@ -7,7 +7,7 @@ those arrays: no shuffle, no Python, and the work is embarrassingly parallel in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltwise import constants as K
@@ -72,81 +72,92 @@ def mixing_modulus(array: str = "_w") -> str:
     )
 
 
+def bind(name: str, value: str, body: str) -> str:
+    """SQL text that evaluates ``value`` once per row under ``name`` and uses it in ``body``.
+
+    A filter or explode above the features makes the optimizer copy whole expressions downwards. With
+    bound names a copy costs one evaluation; chained projections would multiply at every level.
+    """
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def featurize(df: DataFrame, rounded: bool = False, maps: bool = False) -> DataFrame:
     """One row of features per input row; keeps the input's other columns.
 
-    ``maps`` adds the atomic percent and the two phase compositions as maps.
+    ``maps`` adds the atomic percent and the two phase compositions as maps. ``rounded`` cuts atomic
+    shares to two decimals and the fraction to one before they are used.
     """
-    keep = list(df.columns)
-    gp = f"bround({precipitate_fraction()}, 1)" if rounded else precipitate_fraction()
+    at = lambda e: f"at[{POSITION[e]}]"
+    w = lambda e: f"w[{POSITION[e]}]"
+    names = "array(" + ", ".join(f"'{e}'" for e in ELEMENTS) + ")"
+    share = "coalesce(try_divide(x, n), 0D) * 100"
+    gp = precipitate_fraction("at")
     rho = {e: 1.0 / K.DENSITY.get(e, K.DEFAULT_DENSITY) for e in ELEMENTS}
-    df = (
-        atomic_shares(df, rounded)
-        .selectExpr("*", f"{gp} AS gp", f"{_sum('map_values(composition)')} AS _wt")
-        .selectExpr("*", "greatest(0.01D, least(0.9D, gp / 100)) AS _f")
-        .selectExpr(
-            "*", f"zip_with(_at, {constant_array(K.PARTITION, 1.0)}, (x, k) -> x / (_f * k + (1 - _f))) AS _g"
-        )
-        .selectExpr("*", f"zip_with(_g, {constant_array(K.PARTITION, 1.0)}, (x, k) -> x * k) AS _p")
-        .selectExpr("*", f"{_sum('_g')} AS _tg", f"{_sum('_p')} AS _tp")
-    )
     ni_radius = K.RADIUS["Ni"]
     hardening = {
         e: (abs(K.RADIUS.get(e, ni_radius) - ni_radius) / ni_radius) ** 1.3 * v
         for e, v in K.SSS_COEFF.items()
     }
-    strengthen = " + ".join(
-        f"pow(_g[{POSITION[e]}] / _tg, 0.67D) * {v!r}D" for e, v in hardening.items()
-    )
-    at = lambda e: f"_at[{POSITION[e]}]"
-    w = lambda e: f"_w[{POSITION[e]}]"
-    out = df.selectExpr(
-        *[k for k in keep], "gp",
-        f"{dot('_at', K.MD)} / 100 AS md_avg",
-        f"try_divide({dot('_g', K.MD)}, _tg) AS md_gamma",
-        f"{dot('_at', K.VALENCE)} / 100 AS vec_avg",
-        f"{K.LATTICE_NI}D + coalesce(try_divide({dot('_g', K.LATTICE)}, _tg), 0D) AS a_gamma",
-        f"{K.LATTICE_NI}D + coalesce(try_divide({dot('_p', K.LATTICE)}, _tp), 0D) AS a_precipitate",
-        f"coalesce(try_divide(_wt, {dot('_w', rho)} + (_wt - {_sum('_w')}) / {K.DEFAULT_DENSITY}D), "
-        f"{K.DEFAULT_DENSITY}D) AS density",
-        f"coalesce({strengthen}, 0D) AS sss_coeff",
-        f"{mixing_modulus()} AS vrh",
-        f"{dot('_w', K.POTENCY)} AS potency_sum",
-        f"sqrt(gp / 100) * ({at('Al')} + {at('Ti')}) / 100 * 10 AS ppt",
-        f"2 * {at('Re')} + 1.5D * {at('Ru')} + {at('W')} AS creep",
-        f"CASE WHEN {w('Cr')} + {w('Al')} < 1 THEN 0D ELSE {w('Cr')} / ({w('Cr')} + {w('Al')})"
-        f" * (least({w('Cr')}, 15D) + least({w('Al')}, 8D)) END AS oxidation",
-        f"{pick('_w', ['Mo', 'W', 'Nb', 'Ta', 'Re'])} AS sss_wt",
-        f"{pick('_w', ['Mo', 'W', 'Ta', 'Re', 'Nb', 'Hf'])} AS refractory_wt",
-        f"{pick('_w', ['Al', 'Ti', 'Ta', 'Nb'])} AS formers_wt",
-        f"{pick('_at', ['Al', 'Ti', 'Ta', 'Nb'])} AS formers_at",
-        f"{w('Al')} / ({w('Ti')} + 0.01D) AS al_ti_ratio",
-        f"{w('Cr')} / ({w('Co')} + 0.01D) AS cr_co_ratio",
-        f"{w('Cr')} / ({w('Ni')} + 0.01D) AS cr_ni_ratio",
-        f"{w('Mo')} / ({w('W')} + 0.01D) AS mo_w_ratio",
-        f"{at('Al')} / ({at('Ti')} + 0.01D) AS al_ti_at_ratio",
-        f"{at('Al')} * {at('Ti')} AS al_ti_interaction",
-        f"{w('Cr')} * {w('Al')} AS cr_al_interaction",
-        f"{pick('_at', ['C', 'B', 'Hf', 'Zr'])} AS grain_boundary_at",
-        f"{pick('_at', ['Re', 'W', 'Mo'])} AS ductility_reducer_at",
-        f"{pick('_at', ['W', 'Re', 'Ta', 'Hf'])} AS heavy_at",
-        f"{pick('_at', ['Al', 'Ti'])} AS light_at",
-        f"{w('Al')} + {w('Ti')} + {w('Ta')} + 0.35D * {w('Nb')} AS index_wt",
-        *[f"{w(e)} AS {e.lower()}_wt" for e in ("Al", "Ti", "Ta", "W", "Re", "Cr", "Nb", "Mo", "Co")],
-        *(_phase_maps() if maps else []),
-    )
+    strengthen = " + ".join(f"pow(g[{POSITION[e]}] / tg, 0.67D) * {v!r}D" for e, v in hardening.items())
+    oxide = f"({w('Cr')} + {w('Al')})"
+    as_map = lambda arr, cut: f"map_filter(map_from_arrays({names}, {arr}), (k, v) -> v > {cut})"
+    fields = {
+        "gp": "gp",
+        "md_avg": f"{dot('at', K.MD)} / 100",
+        "md_gamma": f"try_divide({dot('g', K.MD)}, tg)",
+        "vec_avg": f"{dot('at', K.VALENCE)} / 100",
+        "a_gamma": f"{K.LATTICE_NI}D + coalesce(try_divide({dot('g', K.LATTICE)}, tg), 0D)",
+        "a_precipitate": f"{K.LATTICE_NI}D + coalesce(try_divide({dot('p', K.LATTICE)}, tp), 0D)",
+        "density": f"coalesce(try_divide(wt, {dot('w', rho)} + (wt - {_sum('w')}) / {K.DEFAULT_DENSITY}D), {K.DEFAULT_DENSITY}D)",
+        "sss_coeff": f"coalesce({strengthen}, 0D)",
+        "vrh": mixing_modulus("w"),
+        "potency_sum": dot("w", K.POTENCY),
+        "ppt": f"sqrt(gp / 100) * ({at('Al')} + {at('Ti')}) / 100 * 10",
+        "creep": f"2 * {at('Re')} + 1.5D * {at('Ru')} + {at('W')}",
+        "oxidation": f"CASE WHEN {oxide} < 1 THEN 0D ELSE {w('Cr')} / {oxide} * (least({w('Cr')}, 15D) + least({w('Al')}, 8D)) END",
+        "sss_wt": pick("w", ["Mo", "W", "Nb", "Ta", "Re"]),
+        "refractory_wt": pick("w", ["Mo", "W", "Ta", "Re", "Nb", "Hf"]),
+        "formers_wt": pick("w", ["Al", "Ti", "Ta", "Nb"]),
+        "formers_at": pick("at", ["Al", "Ti", "Ta", "Nb"]),
+        "al_ti_ratio": f"{w('Al')} / ({w('Ti')} + 0.01D)",
+        "cr_co_ratio": f"{w('Cr')} / ({w('Co')} + 0.01D)",
+        "cr_ni_ratio": f"{w('Cr')} / ({w('Ni')} + 0.01D)",
+        "mo_w_ratio": f"{w('Mo')} / ({w('W')} + 0.01D)",
+        "al_ti_at_ratio": f"{at('Al')} / ({at('Ti')} + 0.01D)",
+        "al_ti_interaction": f"{at('Al')} * {at('Ti')}",
+        "cr_al_interaction": f"{w('Cr')} * {w('Al')}",
+        "grain_boundary_at": pick("at", ["C", "B", "Hf", "Zr"]),
+        "ductility_reducer_at": pick("at", ["Re", "W", "Mo"]),
+        "heavy_at": pick("at", ["W", "Re", "Ta", "Hf"]),
+        "light_at": pick("at", ["Al", "Ti"]),
+        "index_wt": f"{w('Al')} + {w('Ti')} + {w('Ta')} + 0.35D * {w('Nb')}",
+        **{f"{e.lower()}_wt": w(e) for e in ("Al", "Ti", "Ta", "W", "Re", "Cr", "Nb", "Mo", "Co")},
+    }
+    if maps:
+        fields |= {
+            "atomic_percent": as_map("at", "0D"),
+            "gamma_at": as_map("transform(g, x -> x / tg * 100)", "0.01D"),
+            "precipitate_at": as_map("transform(p, x -> x / tp * 100)", "0.01D"),
+        }
+    body = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+    steps = [
+        ("w", f"transform({names}, e -> coalesce(try_element_at(composition, e), 0D))"),
+        ("wt", _sum("map_values(composition)")),
+        ("m", f"zip_with(w, {constant_array(K.ATOMIC_WEIGHT)}, (x, a) -> greatest(x, 0D) / a)"),
+        ("n", _sum("m")),
+        ("at", f"transform(m, x -> {f'bround({share}, 2)' if rounded else share})"),
+        ("gp", f"bround({gp}, 1)" if rounded else gp),
+        ("f", "greatest(0.01D, least(0.9D, gp / 100))"),
+        ("g", f"zip_with(at, {constant_array(K.PARTITION, 1.0)}, (x, k) -> x / (f * k + (1 - f)))"),
+        ("p", f"zip_with(g, {constant_array(K.PARTITION, 1.0)}, (x, k) -> x * k)"),
+        ("tg", _sum("g")),
+        ("tp", _sum("p")),
+    ]
+    for name, value in reversed(steps):
+        body = bind(name, value, body)
+    out = df.withColumn("_feat", F.expr(body)).select(*df.columns, "_feat.*")
     return out.withColumns({
         "mismatch": 200.0 * (F.col("a_precipitate") - F.col("a_gamma"))
         / (F.col("a_precipitate") + F.col("a_gamma")),
         "tcp_risk": tcp_class(F.col("md_gamma"), F.col("md_avg")),
     })
-
-
-def _phase_maps() -> list[str]:
-    names = "array(" + ", ".join(f"'{e}'" for e in ELEMENTS) + ")"
-    as_map = lambda arr, cut: f"map_filter(map_from_arrays({names}, {arr}), (k, v) -> v > {cut})"
-    return [
-        as_map("_at", "0D") + " AS atomic_percent",
-        as_map("transform(_g, x -> x / _tg * 100)", "0.01D") + " AS gamma_at",
-        as_map("transform(_p, x -> x / _tp * 100)", "0.01D") + " AS precipitate_at",
-    ]
