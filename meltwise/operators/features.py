@@ -98,7 +98,7 @@ def featurize(df: DataFrame, rounded: bool = False, maps: bool = False) -> DataF
         e: (abs(K.RADIUS.get(e, ni_radius) - ni_radius) / ni_radius) ** 1.3 * v
         for e, v in K.SSS_COEFF.items()
     }
-    strengthen = " + ".join(f"pow(g[{POSITION[e]}] / tg, 0.67D) * {v!r}D" for e, v in hardening.items())
+    strengthen = " + ".join(f"pow(try_divide(g[{POSITION[e]}], tg), 0.67D) * {v!r}D" for e, v in hardening.items())
     oxide = f"({w('Cr')} + {w('Al')})"
     as_map = lambda arr, cut: f"map_filter(map_from_arrays({names}, {arr}), (k, v) -> v > {cut})"
     fields = {
@@ -136,8 +136,8 @@ def featurize(df: DataFrame, rounded: bool = False, maps: bool = False) -> DataF
     if maps:
         fields |= {
             "atomic_percent": as_map("at", "0D"),
-            "gamma_at": as_map("transform(g, x -> x / tg * 100)", "0.01D"),
-            "precipitate_at": as_map("transform(p, x -> x / tp * 100)", "0.01D"),
+            "gamma_at": as_map("transform(g, x -> try_divide(x, tg) * 100)", "0.01D"),
+            "precipitate_at": as_map("transform(p, x -> try_divide(x, tp) * 100)", "0.01D"),
         }
     body = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
     steps = [
