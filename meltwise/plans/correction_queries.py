@@ -82,14 +82,14 @@ def anchor_gate_blend(t):
 
 
 @query("calibration", """
-    SELECT entity, temp_c, round(f_ys, 8) AS f_ys, round(ml_ys * f_ys, 7) AS ys, round(f_uts, 8) AS f_uts FROM (
+    SELECT entity, temp_c, round(f_ys, 8) AS f_ys, round(ml_ys * f_ys, 9) AS ys, round(f_uts, 8) AS f_uts FROM (
       SELECT *, CASE WHEN distance < 4.5 THEN 1.0 ELSE 1 + bw * (f - 1) END AS f_ys, CASE WHEN distance < 4.5 THEN 1.0 ELSE 1 + bw * (f - 1) END AS f_uts
       FROM (SELECT *, (CASE WHEN route = 'wrought' THEN 0.90 ELSE 0.95 END) * (CASE WHEN alloy_class = 'sss' AND route = 'wrought' AND cr < 18 THEN 0.93 ELSE 1.0 END) AS f,
         CASE WHEN distance > 10 THEN 1.0 WHEN distance > 5 THEN 0.8 ELSE 0.5 END AS bw FROM f_kg))""")
 def calibration(t):
     f = cr.calibration_factors()
     return with_neighbour(t).select(
-        "entity", "temp_c", rnd(f["ys"], 8).alias("f_ys"), rnd(c("ml_ys") * f["ys"], 7).alias("ys"), rnd(f["uts"], 8).alias("f_uts"))
+        "entity", "temp_c", rnd(f["ys"], 8).alias("f_ys"), rnd(c("ml_ys") * f["ys"], 9).alias("ys"), rnd(f["uts"], 8).alias("f_uts"))
 
 
 @query("interval_apply", """

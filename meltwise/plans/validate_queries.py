@@ -79,7 +79,7 @@ def series(t):
 
 @query("series_summary", """
     SELECT entity, property, count(*) AS n, string_agg(CAST(temp_c AS VARCHAR), ';' ORDER BY pos) AS temps,
-      round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max,
+      round(avg(value), 9) AS avg, min(value) AS min, max(value) AS max,
       arg_min(value, pos) FILTER (temp_c IN (20, 21, 25)) AS rt
     FROM f_measurement GROUP BY ALL""")
 def series_summary(t):
@@ -88,7 +88,7 @@ def series_summary(t):
     return series(t).select(
         "entity", "property", F.size("points").cast("long").alias("n"),
         F.array_join(F.transform("points", lambda x: x["temp_c"].cast("string")), ";").alias("temps"),
-        rnd(F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size("points")).alias("avg"),
+        rnd(F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size("points"), 9).alias("avg"),
         F.array_min(values).alias("min"), F.array_max(values).alias("max"), F.get(rt, F.lit(0))["value"].alias("rt"))
 
 
