@@ -277,17 +277,17 @@ def physics_predict(t):
 
 
 @query("screen_predict", """
-    SELECT entity, temp_c, round(ys, 3) AS scr_ys,
+    SELECT entity, temp_c, round(ys + 1e-7, 3) AS scr_ys,
       round(ys * CASE WHEN t < 650 THEN r WHEN t <= 800 THEN 1 + (r - 1) * greatest(0.2, 1 - 0.003 * (t - 650))
-        ELSE 1 + (r - 1) * 0.55 * exp(-(t - 800) / 50) END, 3) AS scr_uts,
+        ELSE 1 + (r - 1) * 0.55 * exp(-(t - 800) / 50) END + 1e-7, 3) AS scr_uts,
       round(CASE WHEN alloy_class = 'sss' THEN 40 WHEN route = 'wrought' THEN greatest(10.0, 28 - 0.28 * gp)
-        ELSE greatest(4.0, 18 - 0.25 * gp) END, 3) AS scr_el, round(phys_em, 3) AS scr_em
+        ELSE greatest(4.0, 18 - 0.25 * gp) END + 1e-7, 3) AS scr_el, round(phys_em + 1e-7, 3) AS scr_em
     FROM (SELECT *, rt * factor * 0.82 * CASE WHEN route = 'wrought' THEN 0.90 ELSE 0.95 END AS ys,
       CASE WHEN route = 'wrought' THEN CASE WHEN gp > 40 THEN 1.15 ELSE 1.40 END ELSE 1.10 + gp / 100 * 0.15 + 0.10 END AS r
       FROM f_phys)""")
 def screen_predict(t):
     return predict.screen_predict(conditions(t)).select(
-        "entity", "temp_c", *[rnd(c(f"scr_{p}"), 3).alias(f"scr_{p}") for p in ("ys", "uts", "el", "em")]
+        "entity", "temp_c", *[rnd(c(f"scr_{p}") + 1e-7, 3).alias(f"scr_{p}") for p in ("ys", "uts", "el", "em")]
     )
 
 
@@ -306,12 +306,12 @@ FIXTURE_SQL["f_ml"] = """
 
 
 @query("blended_predict", """
-    SELECT entity, temp_c, round(ys, 3) AS bl_ys, round(ys * CASE WHEN t < 650 THEN r
+    SELECT entity, temp_c, round(ys + 1e-7, 3) AS bl_ys, round(ys * CASE WHEN t < 650 THEN r
         WHEN t <= 800 THEN 1 + (r - 1) * greatest(0.2, 1 - 0.003 * (t - 650))
-        ELSE 1 + (r - 1) * 0.55 * exp(-(t - 800) / 50) END, 3) AS bl_uts,
+        ELSE 1 + (r - 1) * 0.55 * exp(-(t - 800) / 50) END + 1e-7, 3) AS bl_uts,
       round(CASE WHEN alloy_class = 'sss' THEN ml_el ELSE 0.5 * ml_el + 0.5 * CASE WHEN route = 'wrought'
-        THEN greatest(10.0, 28 - 0.28 * gp) ELSE greatest(4.0, 18 - 0.25 * gp) END END, 3) AS bl_el,
-      round(0.3 * ml_em + 0.7 * phys_em, 3) AS bl_em
+        THEN greatest(10.0, 28 - 0.28 * gp) ELSE greatest(4.0, 18 - 0.25 * gp) END END + 1e-7, 3) AS bl_el,
+      round(0.3 * ml_em + 0.7 * phys_em + 1e-7, 3) AS bl_em
     FROM (SELECT *, greatest(1.0, least(1.8, CASE WHEN ml_ys > 0 THEN ml_uts / ml_ys
         WHEN alloy_class = 'sss' THEN 1.5 ELSE 1.4 END)) AS r,
       CASE WHEN alloy_class = 'sss' THEN 0.3 * ml_ys + 0.7 * sss_rt * factor
@@ -321,5 +321,5 @@ FIXTURE_SQL["f_ml"] = """
 def blended_predict(t):
     x = conditions(t).join(model_columns(t), ["entity", "temp_c"])
     return predict.blended_predict(x).select(
-        "entity", "temp_c", *[rnd(c(f"bl_{p}"), 3).alias(f"bl_{p}") for p in ("ys", "uts", "el", "em")]
+        "entity", "temp_c", *[rnd(c(f"bl_{p}") + 1e-7, 3).alias(f"bl_{p}") for p in ("ys", "uts", "el", "em")]
     )
