@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltwise.llm import mixing, sharding
+from meltwise.llm import language, licenses, mixing, sharding, simhash
 from meltwise.llm.common import cut, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def fold(column: str, n: int):
+    """Remainder of the id's CRC-32 (of its decimal text) by ``n``; null for a null id."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
+
+
 @query("op3_kd_shards")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
@@ -57,3 +62,24 @@ FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
     return mixing.mix(docs, size=F.col("size")).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    trees = language.train(docs.where(~held).select("text", "lang"))
+    out = docs.select("doc_id", held.alias("held_out"), language.identify(docs, trees, docs["text"]).alias("_p"))
+    return out.select("doc_id", "held_out", F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"), F.col("_p.bits_per_byte").alias("bits_per_byte"))
+
+
+@query("op6_licenses")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", licenses.scan(docs["text"]).alias("_l")).select("doc_id", "_l.*")
+
+
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
