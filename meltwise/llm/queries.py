@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltwise.llm import language, licenses, mixing, sharding, simhash
+from meltwise.llm import language, licenses, mixing, sharding, simhash, toxicity
 from meltwise.llm.common import cut, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def toxicity_field(docs: DataFrame, spark: SparkSession, sf_dir: str):
+    labels = table(spark, sf_dir, "labels").where(F.coalesce(fold("doc_id", 4) != 2, F.lit(True)))
+    return toxicity.train(docs, labels)
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = docs.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), toxicity.score(docs, toxicity_field(docs, spark, sf_dir), docs["text"]).alias("_s"))
+    return scored.select("doc_id", "held_out", F.col("_s.score").alias("score"), (F.col("_s.score") >= 0.3).cast("int").alias("predicted"), F.col("_s.spans").alias("spans"))
