@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltwise.llm import language, licenses, mixing, sharding, simhash, toxicity
+from meltwise.llm import embeddings, language, licenses, mixing, sharding, simhash, toxicity
 from meltwise.llm.common import cut, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = docs.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), toxicity.score(docs, toxicity_field(docs, spark, sf_dir), docs["text"]).alias("_s"))
     return scored.select("doc_id", "held_out", F.col("_s.score").alias("score"), (F.col("_s.score") >= 0.3).cast("int").alias("predicted"), F.col("_s.spans").alias("spans"))
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS m FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT vec_id, coalesce(k, 0) AS n_links, m AS component_id, vec_id = m AS kept FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
+@query("op10_embeddings", EMBEDDING_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
