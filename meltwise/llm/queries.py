@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltwise.llm import embeddings, language, licenses, mixing, sharding, simhash, toxicity
+from meltwise.llm import embeddings, language, licenses, mixing, secrets, sharding, simhash, toxicity
 from meltwise.llm.common import cut, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,35 @@ SELECT vec_id, coalesce(k, 0) AS n_links, m AS component_id, vec_id = m AS kept
 @query("op10_embeddings", EMBEDDING_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def secrets_sql() -> str:
+    """The same spans in SQL, from the lengths of matches and of the pieces between them."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    kinds = []
+    for rank, (kind, pattern, group, least) in enumerate(secrets.BASE_RULES + secrets.OWN_RULES):
+        kinds.append(f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(t, {quoted(pattern)}) AS m,
+          regexp_extract_all(t, {quoted(pattern)}, {group}) AS g, string_split_regex(t, {quoted(pattern)}) AS p, {least} AS least
+          FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WHERE regexp_matches(t, {quoted(pattern)})""")
+    return f"""
+WITH k AS ({' UNION ALL '.join(kinds)}),
+u AS (SELECT doc_id, rank, kind, least, unnest(range(len(m))) AS i, m, g, p FROM k),
+s AS (
+  SELECT doc_id, rank, kind, (list_sum([length(x) FOR x IN p[1:i + 1]]) + coalesce(list_sum([length(x) FOR x IN m[1:i]]), 0))::BIGINT AS a, length(m[i + 1]) AS n, length(g[i + 1]) AS c, least FROM u
+),
+z AS (SELECT doc_id, rank, kind, a, kind || ':' || a || ':' || (a + n) AS span FROM s WHERE c >= least)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY a, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY a, rank), '') AS spans
+FROM documents d LEFT JOIN z USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@query("op4_secrets", secrets_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "found")
+    n = lambda rank: F.size(F.filter("found", lambda s: s["rank"] == rank)).cast("long")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: s["span"]), ",")
+    return found.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+        F.sha2(text(F.filter("found", lambda s: s["rank"] < 3)), 256).alias("base_sha256"), text(F.col("found")).alias("spans"),
+    )
