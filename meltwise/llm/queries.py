@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltwise.llm import embeddings, language, licenses, mixing, secrets, sharding, simhash, toxicity
+from meltwise.llm import decontam, embeddings, language, licenses, mixing, secrets, sharding, simhash, toxicity
 from meltwise.llm.common import cut, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
         F.sha2(text(F.filter("found", lambda s: s["rank"] < 3)), 256).alias("base_sha256"), text(F.col("found")).alias("spans"),
     )
+
+
+@query("op2_decontaminate")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = cut(decontam.matches(docs, table(spark, sf_dir, "benchmark")))
+    named = docs.select("doc_id", decontam.row_hash(docs).alias("_n")).join(found, F.col("_n") == F.col("_k"))
+    return named.select("doc_id", "item_id", "matched", "item_tokens", "coverage", "slots", "changed").distinct()
