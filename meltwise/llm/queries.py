@@ -154,3 +154,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(decontam.matches(docs, table(spark, sf_dir, "benchmark")))
     named = docs.select("doc_id", decontam.row_hash(docs).alias("_n")).join(found, F.col("_n") == F.col("_k"))
     return named.select("doc_id", "item_id", "matched", "item_tokens", "coverage", "slots", "changed").distinct()
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

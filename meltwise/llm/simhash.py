@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meltwise.llm.common import cut
+from meltwise.llm.common import cut, pack, unpack
 from meltwise.llm.components import components
 
 BITS = 64
@@ -77,3 +77,108 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
     found = named.select(F.col("fp").alias("_fp"), "_root").join(least.withColumnRenamed("_root", "_r"), F.col("_root") == F.col("_r")).select("_fp", "component_id")
     return rows.join(found, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+
+
+# Documents alike at word level: many blocks of bits instead of one fingerprint
+
+BLOCKS = 16
+CHECK = 36  # bits of other blocks that ride along with a block, to drop chance meetings early
+CHECK_AT_MOST = 13
+
+
+def wide_text(text: str | None, words: int, longs: int) -> np.ndarray:
+    """``longs`` x 64 fingerprint bits of a text's shingles."""
+    import xxhash
+
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(longs, np.int64)
+    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
+    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(tokens) - words + 1)
+    starts, ends = starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist()
+    votes = np.zeros(longs * BITS, np.int64)
+    for i in range(0, n, SLAB // longs):
+        part = slice(i, i + SLAB // longs)
+        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[part], ends[part], strict=True)], np.uint64)
+        wide = np.empty((len(h), longs), "<u8")
+        for j in range(longs):  # further hashes from the first one
+            x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            wide[:, j] = x ^ (x >> np.uint64(32))
+        votes += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(votes * 2 > n, bitorder="little").view("<i8").astype(np.int64)
+
+
+def wide_fingerprint(text: Column, words: int, longs: int) -> Column:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([wide_text(t, words, longs) for t in s])
+
+    return F.pandas_udf(run, "array<long>")(text)
+
+
+def _bits(longs: Column, start: int, width: int) -> Column:
+    """``width`` bits (under 64) of an array of longs, from bit ``start``."""
+    at, off = divmod(start, BITS)
+    low = F.shiftrightunsigned(longs[at], off)
+    if off + width > BITS:
+        low = low.bitwiseOR(F.shiftleft(longs[at + 1], BITS - off))
+    return low.bitwiseAND(F.lit((1 << width) - 1))
+
+
+def similar_texts(prints: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """(a, b): ids ``u`` of different fingerprints ``w`` (array of longs) that are as near as texts of that similarity.
+
+    A fingerprint of BLOCKS x ``bits`` bits is cut into blocks. Those who share a block are linked to the smallest of them; the
+    distinct values of a block are ball-hashed with half radius 1, so that at most bits + 1 values meet at a variant. Who meets is
+    compared by 36 bits of other blocks and then by the whole fingerprint.
+    """
+    n = BLOCKS * bits
+    rows = [F.struct(F.lit(t).alias("t"), _bits(F.col("w"), t * bits, bits).alias("v"), _bits(F.col("w"), ((t + 1) * bits) % (n - CHECK), CHECK).alias("c")) for t in range(BLOCKS)]
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= CHECK_AT_MOST
+    blocks = cut(prints.select("u", F.inline(F.array(*rows))))
+    reps = cut(blocks.groupBy("t", "v").agg(F.min(F.struct("u", "c")).alias("r")).select(F.col("t").alias("_t"), F.col("v").alias("_v"), F.col("r.u").alias("ru"), F.col("r.c").alias("rc")))
+    same = blocks.join(reps, (F.col("t") == F.col("_t")) & (F.col("v") == F.col("_v"))).where((F.col("u") != F.col("ru")) & near("c", "rc")).select(F.col("ru").alias("a"), F.col("u").alias("b"))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(bits)])
+    balls = reps.select(F.col("ru").alias("u"), F.col("_t").cast("long").alias("t"), F.col("rc").alias("c"), F.col("_v").alias("v"), F.explode(flips).alias("f"))
+    balls = balls.select("u", "c", (F.shiftleft("t", bits) + F.col("v").bitwiseXOR(F.col("f"))).alias("place"))
+    at = Window.partitionBy("place").orderBy("u")
+    met = balls.select("u", "c", F.first("u").over(at).alias("u0"), F.first("c").over(at).alias("c0"), F.lag("u").over(at).alias("u1"), F.lag("c").over(at).alias("c1"))
+    both = met.where(F.col("u0") != F.col("u")).select(F.inline(F.array(F.struct(F.col("u0").alias("a"), F.col("c0").alias("x"), F.col("u").alias("b"), F.col("c").alias("y")), F.struct(F.col("u1").alias("a"), F.col("c1").alias("x"), F.col("u").alias("b"), F.col("c").alias("y")))))
+    pairs = both.where((F.col("a") != F.col("b")) & near("x", "y")).select("a", "b").unionByName(same).distinct()
+    left = prints.select(F.col("u").alias("_l"), F.col("w").alias("wl"))
+    right = prints.select(F.col("u").alias("_r"), F.col("w").alias("wr"))
+    apart = F.aggregate(F.zip_with("wl", "wr", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    joined = pairs.join(left, F.col("a") == F.col("_l")).join(right, F.col("b") == F.col("_r"))
+    return joined.where(apart <= int(bound(similarity) * n)).select("a", "b")
+
+
+def bound(similarity: float) -> float:
+    """Share of bits in which texts of this Jaccard similarity differ, with an allowance of one and a half standard deviations of 384 bits."""
+    from math import acos, pi, sqrt
+
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return p + 1.5 * sqrt(p * (1 - p) / 384)
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int | None = None) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest id, null ids last.
+
+    Near-duplicates are texts whose sets of ``words``-word shingles are about ``similarity`` alike or more, estimated by fingerprints of
+    16 blocks of ``bits`` bits (24, or 6 more than the logarithm of the number of rows), and all that such links connect. Texts
+    without words (null, too) are one group. Among repeated rows of one id and text one stays. Empty table: no rows.
+    """
+    key = lambda df: F.xxhash64(F.coalesce(df["text"], F.lit("")))
+    bits = bits or max(24, (max(1, docs.count()) - 1).bit_length() + 6)
+    longs = -(-BLOCKS * bits // BITS)
+    rows = cut(docs.select(key(docs).alias("k"), "doc_id", wide_fingerprint(docs["text"], words, longs).alias("w")))
+    prints = cut(rows.groupBy(F.xxhash64("w").alias("u")).agg(F.first("w").alias("w")))
+    labels = components(similar_texts(prints, bits, similarity))
+    named = rows.select("k", "doc_id", F.xxhash64("w").alias("u")).join(labels.withColumnRenamed("v", "_v"), F.col("u") == F.col("_v"), "left").withColumn("_root", F.coalesce("label", "u"))
+    stays = named.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("k").alias("k"))).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.k").alias("_k"))
+    kept = pack(docs, _key=key(docs), _own=docs["doc_id"], _order=F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]))
+    kept = kept.join(stays, (F.col("_key") == F.col("_k")) & F.col("_own").eqNullSafe(F.col("_id")), "left_semi")
+    kept = kept.groupBy("_key", "_own").agg(F.min_by("_row", "_order").alias("_row"))
+    return unpack(kept, docs.columns)
