@@ -156,11 +156,11 @@ def similar_texts(prints: DataFrame, bits: int, similarity: float) -> DataFrame:
 
 
 def bound(similarity: float) -> float:
-    """Share of bits in which texts of this Jaccard similarity differ, with an allowance of one and a half standard deviations of 384 bits."""
+    """Share of bits in which texts of this Jaccard similarity differ, with an allowance of one standard deviation of 384 bits."""
     from math import acos, pi, sqrt
 
     p = acos(2 * similarity / (1 + similarity)) / pi
-    return p + 1.5 * sqrt(p * (1 - p) / 384)
+    return p + sqrt(p * (1 - p) / 384)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int | None = None) -> DataFrame:
