@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,3 +73,24 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share."""
     return f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of a finished step go at once, for jobs whose every step reads what the one before has written."""
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, before)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows from a table in the shared folder: a lineage cut whose size the planner knows."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meltwise.llm.common import cut, pack, unpack
+from meltwise.llm.common import cut, pack, tidy, unpack, written
 from meltwise.llm.components import components
 
 BITS = 64
@@ -138,8 +138,8 @@ def similar_texts(prints: DataFrame, bits: int, similarity: float) -> DataFrame:
     n = BLOCKS * bits
     rows = [F.struct(F.lit(t).alias("t"), _bits(F.col("w"), t * bits, bits).alias("v"), _bits(F.col("w"), ((t + 1) * bits) % (n - CHECK), CHECK).alias("c")) for t in range(BLOCKS)]
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= CHECK_AT_MOST
-    blocks = cut(prints.select("u", F.inline(F.array(*rows))))
-    reps = cut(blocks.groupBy("t", "v").agg(F.min(F.struct("u", "c")).alias("r")).select(F.col("t").alias("_t"), F.col("v").alias("_v"), F.col("r.u").alias("ru"), F.col("r.c").alias("rc")))
+    blocks = prints.select("u", F.inline(F.array(*rows)))
+    reps = written(blocks.groupBy("t", "v").agg(F.min(F.struct("u", "c")).alias("r")).select(F.col("t").alias("_t"), F.col("v").alias("_v"), F.col("r.u").alias("ru"), F.col("r.c").alias("rc")))
     same = blocks.join(reps, (F.col("t") == F.col("_t")) & (F.col("v") == F.col("_v"))).where((F.col("u") != F.col("ru")) & near("c", "rc")).select(F.col("ru").alias("a"), F.col("u").alias("b"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(bits)])
     balls = reps.select(F.col("ru").alias("u"), F.col("_t").cast("long").alias("t"), F.col("rc").alias("c"), F.col("_v").alias("v"), F.explode(flips).alias("f"))
@@ -147,7 +147,7 @@ def similar_texts(prints: DataFrame, bits: int, similarity: float) -> DataFrame:
     at = Window.partitionBy("place").orderBy("u")
     met = balls.select("u", "c", F.first("u").over(at).alias("u0"), F.first("c").over(at).alias("c0"), F.lag("u").over(at).alias("u1"), F.lag("c").over(at).alias("c1"))
     both = met.where(F.col("u0") != F.col("u")).select(F.inline(F.array(F.struct(F.col("u0").alias("a"), F.col("c0").alias("x"), F.col("u").alias("b"), F.col("c").alias("y")), F.struct(F.col("u1").alias("a"), F.col("c1").alias("x"), F.col("u").alias("b"), F.col("c").alias("y")))))
-    pairs = both.where((F.col("a") != F.col("b")) & near("x", "y")).select("a", "b").unionByName(same).distinct()
+    pairs = written(both.where((F.col("a") != F.col("b")) & near("x", "y")).select("a", "b").unionByName(same).distinct())
     left = prints.select(F.col("u").alias("_l"), F.col("w").alias("wl"))
     right = prints.select(F.col("u").alias("_r"), F.col("w").alias("wr"))
     apart = F.aggregate(F.zip_with("wl", "wr", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -173,9 +173,10 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     key = lambda df: F.xxhash64(F.coalesce(df["text"], F.lit("")))
     bits = bits or max(24, (max(1, docs.count()) - 1).bit_length() + 6)
     longs = -(-BLOCKS * bits // BITS)
-    rows = cut(docs.select(key(docs).alias("k"), "doc_id", wide_fingerprint(docs["text"], words, longs).alias("w")))
-    prints = cut(rows.groupBy(F.xxhash64("w").alias("u")).agg(F.first("w").alias("w")))
-    labels = components(similar_texts(prints, bits, similarity))
+    with tidy(docs.sparkSession):
+        rows = written(docs.select(key(docs).alias("k"), "doc_id", wide_fingerprint(docs["text"], words, longs).alias("w")))
+        prints = written(rows.groupBy(F.xxhash64("w").alias("u")).agg(F.first("w").alias("w")))
+        labels = written(components(written(similar_texts(prints, bits, similarity))))
     named = rows.select("k", "doc_id", F.xxhash64("w").alias("u")).join(labels.withColumnRenamed("v", "_v"), F.col("u") == F.col("_v"), "left").withColumn("_root", F.coalesce("label", "u"))
     stays = named.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("k").alias("k"))).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.k").alias("_k"))
     kept = pack(docs, _key=key(docs), _own=docs["doc_id"], _order=F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]))

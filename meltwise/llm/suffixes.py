@@ -19,37 +19,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meltwise.llm.common import shared_path
+from meltwise.llm.common import tidy, written
 from meltwise.llm.cover import BATCH, GRAM, REPEAT, STARTS, Names, cover
 
 REST = REPEAT - GRAM
 BUCKET = 20_000  # runs sorted at once
 HOT = 100_000  # different runs of one rank, from which on its suffixes are spread
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def _tidy(spark: SparkSession):
-    """Shuffle files of a finished step go at once: each step reads what the one before has written."""
-    before = spark.conf.get(CLEAN)
-    spark.conf.set(CLEAN, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEAN, before)
-
-
-def _written(df: DataFrame) -> DataFrame:
-    spark, path = df.sparkSession, shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -206,14 +187,14 @@ def repeated_strings(docs: DataFrame, bucket: int = BUCKET, hot: int = HOT) -> D
     """
     spark = docs.sparkSession
     keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), "text")
-    with _tidy(spark):
+    with tidy(spark):
         points = keyed.mapInPandas(_points, "c long, b long, k long, spot long, w int")
-        ranks = _written(points.groupBy("c").agg(F.sum("w").alias("n")).where("n > 1").select(F.col("c").alias("_c")))
-        hits = _written(points.join(ranks, F.col("c") == F.col("_c")).select("c", "b", "k", "spot", "w"))
+        ranks = written(points.groupBy("c").agg(F.sum("w").alias("n")).where("n > 1").select(F.col("c").alias("_c")))
+        hits = written(points.join(ranks, F.col("c") == F.col("_c")).select("c", "b", "k", "spot", "w"))
         per_run = hits.groupBy("c", "b").agg(F.sum("w").alias("bw"), F.min(F.struct("k", "spot")).alias("rep"))
-        per_run = _written(per_run)
+        per_run = written(per_run)
         per_rank = per_run.groupBy(F.col("c").alias("_c")).agg(F.count("*").alias("runs")).where("runs > 1")
-        asked = _written(per_run.join(per_rank, F.col("c") == F.col("_c")).select("c", F.least("bw", F.lit(2)).cast("int").alias("bw"), F.col("rep.k").alias("k"), F.col("rep.spot").alias("spot"), (F.col("runs") > hot).alias("hot")))
+        asked = written(per_run.join(per_rank, F.col("c") == F.col("_c")).select("c", F.least("bw", F.lit(2)).cast("int").alias("bw"), F.col("rep.k").alias("k"), F.col("rep.spot").alias("spot"), (F.col("runs") > hot).alias("hot")))
         ties = per_run.where("bw > 1").select(F.col("c").alias("_c"), F.col("b").alias("_b"))
         gone = hits.join(ties, (F.col("c") == F.col("_c")) & (F.col("b") == F.col("_b"))).select("k", "spot", F.lit(0).cast("long").alias("c"), F.lit(None).cast("int").alias("bw"), F.lit(None).cast("boolean").alias("hot"))
         known = gone.unionByName(asked.select("k", "spot", "c", "bw", "hot")).groupBy("k").agg(
@@ -221,7 +202,7 @@ def repeated_strings(docs: DataFrame, bucket: int = BUCKET, hot: int = HOT) -> D
             F.collect_set(F.when(F.col("bw").isNotNull(), F.struct("c", "spot", "bw", "hot"))).alias("asked"),
             F.coalesce(F.bool_or(F.col("bw") == 1), F.lit(False)).alias("open"),
         )
-        known = _written(known.withColumnRenamed("k", "_k"))
+        known = written(known.withColumnRenamed("k", "_k"))
         texts = keyed.groupBy("k").agg(F.first("text").alias("text"))
         held = texts.join(known, F.col("k") == F.col("_k"), "left").drop("_k")
         told = F.col("open").isNotNull()  # texts without a repeated point go through with their result
@@ -229,7 +210,7 @@ def repeated_strings(docs: DataFrame, bucket: int = BUCKET, hot: int = HOT) -> D
             "k", F.when(told, F.col("text")).alias("text"), "gone", "asked", F.coalesce("open", F.lit(False)).alias("open"),
             F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.when(~told, F.sha2(F.coalesce("text", F.lit("")), 256)).alias("plain"),
         )
-        staged = _written(held.mapInPandas(_judge, STAGED))
+        staged = written(held.mapInPandas(_judge, STAGED))
         runs = staged.where(F.size("runs") > 0).select("k", F.inline("runs"))
         n = asked.where(~F.col("hot")).count()
         sorted_runs = runs.where(~F.col("hot")).groupBy(F.pmod("c", F.lit(max(1, -(-n // bucket)))).alias("bucket")).applyInPandas(sort_bucket, "k long, start long, count long")
@@ -237,10 +218,10 @@ def repeated_strings(docs: DataFrame, bucket: int = BUCKET, hot: int = HOT) -> D
         many = spread.groupBy(F.col("c").alias("_c"), F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.sum("bw").alias("n")).where("n > 1")
         spread = spread.where("bw = 1").join(many, (F.col("c") == F.col("_c")) & (F.col("d") == F.col("_d")) & (F.col("h") == F.col("_h"))).select("k", "start", F.lit(1).cast("long").alias("count"))
         found = sorted_runs.unionByName(spread).groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct("start", "count")).alias("found"))
-        found = _written(found)
+        found = written(found)
         open_texts = staged.where("open").select("k", "text", "gone").join(found, F.col("k") == F.col("_k"), "left").drop("_k")
         closed = open_texts.mapInPandas(_close, f"k long, {RESULT}")
-        return _written(closed.unionByName(staged.where("not open").select("k", "n_bytes", "n_removed", "n_spans", "kept_sha256")))
+        return written(closed.unionByName(staged.where("not open").select("k", "n_bytes", "n_removed", "n_spans", "kept_sha256")))
 
 
 def remove_repeats(docs: DataFrame, **sizes: int) -> DataFrame:

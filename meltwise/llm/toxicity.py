@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from sys import intern
 
 import numpy as np
 import pandas as pd
@@ -187,12 +188,13 @@ def fit(texts: list[str], toxic: np.ndarray, share: float | None = None, rounds:
     (resilient propagation). A line then turns a text's expected number of toxic words into its chance of the toxic label, with
     ``share`` the labels' own share of toxic texts.
     """
-    words = [TOKEN.findall(lowered(t)) for t in texts]
+    words = [[intern(w) for w in TOKEN.findall(lowered(t))] for t in texts]
     kinds = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws if w not in BREAKS))}
     parts = {w: features(w) for w in kinds}
     held_by = [{f for w in set(ws) - BREAKS for f in parts[w]} for ws in words]
     bad = weak_tags(held_by, toxic)
     seen = Counter(f for s in held_by for f in s)
+    del held_by
     index = {f: i for i, f in enumerate(sorted(f for f, c in seen.items() if c >= at_least or f in bad))}
     pairs = np.array([(k, index[f]) for w, k in kinds.items() for f in parts[w] if f in index], np.int64).reshape(-1, 2)
     is_bad = np.array([not bad.isdisjoint(parts[w]) for w in kinds] + [False])
