@@ -7,7 +7,7 @@ import numpy as np
 REPEAT = 200  # bytes of a string that counts as repeated
 GRAM = 48  # bytes that a cover point is chosen by
 STARTS = REPEAT - GRAM + 1  # cover candidates in a string
-BATCH = 1 << 22  # bytes taken at once
+BATCH = 1 << 20  # bytes taken at once
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
