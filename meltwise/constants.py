@@ -1,7 +1,6 @@
 """Fixed domain values: element constants, thresholds, synonym and rule tables.
 
-Everything here is data. Operators take these tables as defaults and accept
-replacements, so a changed value is an entry and not new logic.
+Operators read these tables by default; callers may pass their own.
 """
 
 from __future__ import annotations

@@ -52,3 +52,17 @@ def lookup(mapping: dict, key: Column, default) -> Column:
         cond = key.isin(names)
         out = F.when(cond, F.lit(float(value))) if out is None else out.when(cond, F.lit(float(value)))
     return out.otherwise(F.lit(default) if default is not None else F.lit(None).cast("double"))
+
+
+def rnd_even(col, digits: int = 3):
+    """Rounded in two plain steps, first to nine decimals, so that values on a rounding midpoint agree between engines."""
+    fine = F.floor(col * 1e9 + 0.5) / 1e9
+    scale = float(10**digits)
+    return F.floor(fine * scale + 0.5) / scale
+
+
+def rnd_even_sql(sql: str, keys: str, columns: list[str], digits: int = 3) -> str:
+    """The query with ``columns`` rounded in the same two steps."""
+    scale = float(10**digits)
+    each = [f"floor(floor({x} * 1e9 + 0.5) / 1e9 * {scale} + 0.5) / {scale} AS {x}" for x in columns]
+    return f"SELECT {keys}, {', '.join(each)} FROM ({sql})"

@@ -145,7 +145,7 @@ def coherency_rules() -> Column:
 def penalties() -> tuple[Column, Column]:
     """Penalty names and score from the metallurgical metrics."""
     names = messages([
-        ("Strengthening Balance", (c("gp") < 5) & (c("sss_wt") < 10)),
+        ("Strengthening Balance", (c("gp") < 5) & (c("sss_wt") < 10) & ~F.contains(F.coalesce("route", F.lit("")), F.lit("solid_solution"))),
         ("Coherency Warning", F.abs(c("mismatch")) > 0.8),
         ("TCP Risk - Critical", c("tcp_risk") == "Critical"),
         ("TCP Risk - Elevated", c("tcp_risk") == "Elevated"),

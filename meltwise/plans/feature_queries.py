@@ -10,7 +10,7 @@ from meltwise.functions import thermal
 from meltwise.functions.classify import axiom_class, axiom_tcp, physics_class, tcp_class
 from meltwise.operators import features as feat
 from meltwise.operators import predict
-from meltwise.operators.common import const_table, rnd
+from meltwise.operators.common import const_table, rnd, rnd_even, rnd_even_sql
 from meltwise.plans.registry import query
 
 c = F.col
@@ -266,28 +266,27 @@ def sss_strength(t):
     return x.select("entity", rnd(predict.sss_strength()).alias("sss_ys"))
 
 
-@query("physics_predict", """
-    SELECT entity, temp_c, alloy_class, round(phys_ys, 3) AS phys_ys, round(phys_uts, 3) AS phys_uts,
-      round(phys_el, 3) AS phys_el, round(phys_em, 3) AS phys_em, round(phys_gp, 3) AS phys_gp FROM f_phys""")
+@query("physics_predict", rnd_even_sql("""
+    SELECT entity, temp_c, alloy_class, phys_ys, phys_uts, phys_el, phys_em, phys_gp FROM f_phys""", "entity, temp_c, alloy_class", ["phys_ys", "phys_uts", "phys_el", "phys_em", "phys_gp"]))
 def physics_predict(t):
     return predict.physics_predict(conditions(t)).select(
         "entity", "temp_c", "alloy_class",
-        *[rnd(c(f"phys_{p}"), 3).alias(f"phys_{p}") for p in ("ys", "uts", "el", "em", "gp")],
+        *[rnd_even(c(f"phys_{p}")).alias(f"phys_{p}") for p in ("ys", "uts", "el", "em", "gp")],
     )
 
 
-@query("screen_predict", """
-    SELECT entity, temp_c, round(ys + 1e-7, 3) AS scr_ys,
-      round(ys * CASE WHEN t < 650 THEN r WHEN t <= 800 THEN 1 + (r - 1) * greatest(0.2, 1 - 0.003 * (t - 650))
-        ELSE 1 + (r - 1) * 0.55 * exp(-(t - 800) / 50) END + 1e-7, 3) AS scr_uts,
-      round(CASE WHEN alloy_class = 'sss' THEN 40 WHEN route = 'wrought' THEN greatest(10.0, 28 - 0.28 * gp)
-        ELSE greatest(4.0, 18 - 0.25 * gp) END + 1e-7, 3) AS scr_el, round(phys_em + 1e-7, 3) AS scr_em
+@query("screen_predict", rnd_even_sql("""
+    SELECT entity, temp_c, ys AS scr_ys,
+      ys * CASE WHEN t < 650 THEN r WHEN t <= 800 THEN 1 + (r - 1) * greatest(0.2, 1 - 0.003 * (t - 650))
+        ELSE 1 + (r - 1) * 0.55 * exp(-(t - 800) / 50) END AS scr_uts,
+      CASE WHEN alloy_class = 'sss' THEN 40 WHEN route = 'wrought' THEN greatest(10.0, 28 - 0.28 * gp)
+        ELSE greatest(4.0, 18 - 0.25 * gp) END AS scr_el, phys_em AS scr_em
     FROM (SELECT *, rt * factor * 0.82 * CASE WHEN route = 'wrought' THEN 0.90 ELSE 0.95 END AS ys,
       CASE WHEN route = 'wrought' THEN CASE WHEN gp > 40 THEN 1.15 ELSE 1.40 END ELSE 1.10 + gp / 100 * 0.15 + 0.10 END AS r
-      FROM f_phys)""")
+      FROM f_phys)""", "entity, temp_c", ["scr_ys", "scr_uts", "scr_el", "scr_em"]))
 def screen_predict(t):
     return predict.screen_predict(conditions(t)).select(
-        "entity", "temp_c", *[rnd(c(f"scr_{p}") + 1e-7, 3).alias(f"scr_{p}") for p in ("ys", "uts", "el", "em")]
+        "entity", "temp_c", *[rnd_even(c(f"scr_{p}")).alias(f"scr_{p}") for p in ("ys", "uts", "el", "em")]
     )
 
 
@@ -305,21 +304,21 @@ FIXTURE_SQL["f_ml"] = """
     FROM f_pred WHERE arm = 0 AND seed = 42 GROUP BY 1, 2"""
 
 
-@query("blended_predict", """
-    SELECT entity, temp_c, round(ys + 1e-7, 3) AS bl_ys, round(ys * CASE WHEN t < 650 THEN r
+@query("blended_predict", rnd_even_sql("""
+    SELECT entity, temp_c, ys AS bl_ys, ys * CASE WHEN t < 650 THEN r
         WHEN t <= 800 THEN 1 + (r - 1) * greatest(0.2, 1 - 0.003 * (t - 650))
-        ELSE 1 + (r - 1) * 0.55 * exp(-(t - 800) / 50) END + 1e-7, 3) AS bl_uts,
-      round(CASE WHEN alloy_class = 'sss' THEN ml_el ELSE 0.5 * ml_el + 0.5 * CASE WHEN route = 'wrought'
-        THEN greatest(10.0, 28 - 0.28 * gp) ELSE greatest(4.0, 18 - 0.25 * gp) END END + 1e-7, 3) AS bl_el,
-      round(0.3 * ml_em + 0.7 * phys_em + 1e-7, 3) AS bl_em
+        ELSE 1 + (r - 1) * 0.55 * exp(-(t - 800) / 50) END AS bl_uts,
+      CASE WHEN alloy_class = 'sss' THEN ml_el ELSE 0.5 * ml_el + 0.5 * CASE WHEN route = 'wrought'
+        THEN greatest(10.0, 28 - 0.28 * gp) ELSE greatest(4.0, 18 - 0.25 * gp) END END AS bl_el,
+      0.3 * ml_em + 0.7 * phys_em AS bl_em
     FROM (SELECT *, greatest(1.0, least(1.8, CASE WHEN ml_ys > 0 THEN ml_uts / ml_ys
         WHEN alloy_class = 'sss' THEN 1.5 ELSE 1.4 END)) AS r,
       CASE WHEN alloy_class = 'sss' THEN 0.3 * ml_ys + 0.7 * sss_rt * factor
         ELSE 0.2 * ml_ys + 0.8 * (CASE WHEN route = 'wrought' THEN 520 + 13 * gp ELSE 400 + 10 * gp END)
           * CASE WHEN t <= 25 THEN 1.0 ELSE gpf END END AS ys
-      FROM f_phys JOIN f_ml USING (entity, temp_c))""")
+      FROM f_phys JOIN f_ml USING (entity, temp_c))""", "entity, temp_c", ["bl_ys", "bl_uts", "bl_el", "bl_em"]))
 def blended_predict(t):
     x = conditions(t).join(model_columns(t), ["entity", "temp_c"])
     return predict.blended_predict(x).select(
-        "entity", "temp_c", *[rnd(c(f"bl_{p}") + 1e-7, 3).alias(f"bl_{p}") for p in ("ys", "uts", "el", "em")]
+        "entity", "temp_c", *[rnd_even(c(f"bl_{p}")).alias(f"bl_{p}") for p in ("ys", "uts", "el", "em")]
     )

@@ -17,9 +17,9 @@ def event_stream(t):
 
 
 @query("latest_state_ttl", """
-    WITH n AS (SELECT max(ts) AS now FROM f_job), l AS (SELECT key, arg_max(kind, (ts, event_id)) AS kind, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts, count(*) AS events FROM f_job GROUP BY key),
-     x AS (SELECT *, epoch_us(now) - epoch_us(ts) AS age, status IN ('done', 'failed') AS fin, CASE WHEN kind = 'design' THEN 5400 ELSE 1800 END AS lim FROM l, n)
-    SELECT key, kind, CASE WHEN NOT fin AND age > lim::BIGINT * 1000000 THEN 'failed' ELSE status END AS status, events, NOT fin AND age > lim::BIGINT * 1000000 AS reaped FROM x WHERE NOT (fin AND age > 3600000000)""")
+    WITH n AS (SELECT max(ts) AS now FROM f_job), l AS (SELECT key, arg_max(kind, (ts, event_id)) AS kind, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts, min(ts) AS started, count(*) AS events FROM f_job GROUP BY key),
+     x AS (SELECT *, status IN ('done', 'failed') AS fin, epoch_us(now) - epoch_us(CASE WHEN status IN ('done', 'failed') THEN ts ELSE started END) AS age, CASE WHEN kind = 'design' THEN 5400 ELSE 1800 END AS lim FROM l, n)
+    SELECT key, kind, CASE WHEN NOT fin AND age > lim::BIGINT * 1000000 THEN 'failed' ELSE status END AS status, events, NOT fin AND age > lim::BIGINT * 1000000 AS reaped, CASE WHEN fin THEN ts WHEN age > lim::BIGINT * 1000000 THEN now END AS finished FROM x WHERE NOT (fin AND age > 3600000000)""")
 def latest_state_ttl(t):
     return jobs.latest_state(t.job)
 

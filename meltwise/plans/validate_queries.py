@@ -271,12 +271,13 @@ def coherency_rules(t):
         + CASE WHEN abs(mismatch) > 1.5 THEN 20 ELSE 0 END AS score,
       CASE WHEN len(names) * 5 + CASE tcp_risk WHEN 'Critical' THEN 30 WHEN 'Elevated' THEN 5 ELSE 0 END
         + CASE WHEN abs(mismatch) > 1.5 THEN 20 ELSE 0 END > 50 OR tcp_risk = 'Critical' THEN 'REJECT' ELSE 'PASS' END AS status
-    FROM (SELECT *, list_filter([CASE WHEN gp < 5 AND sss_wt < 10 THEN 'Strengthening Balance' END, CASE WHEN abs(mismatch) > 0.8 THEN 'Coherency Warning' END,
+    FROM (SELECT *, list_filter([CASE WHEN gp < 5 AND sss_wt < 10 AND NOT contains(route, 'solid_solution') THEN 'Strengthening Balance' END, CASE WHEN abs(mismatch) > 0.8 THEN 'Coherency Warning' END,
       CASE WHEN tcp_risk = 'Critical' THEN 'TCP Risk - Critical' WHEN tcp_risk = 'Elevated' THEN 'TCP Risk - Elevated' WHEN tcp_risk = 'Moderate' THEN 'Phase Stability' END],
-      lambda x : x IS NOT NULL) AS names FROM f_feat)""")
+      lambda x : x IS NOT NULL) AS names FROM (SELECT f.*, CASE WHEN f.entity % 3 = 0 THEN 'solid_solution_' || e.route ELSE e.route END AS route FROM f_feat f JOIN f_entity e ON e.entity = f.entity))""")
 def penalty_score(t):
     names, score = v.penalties()
-    x = t.features.select("entity", names.alias("names"), score.cast("long").alias("score"))
+    route = t.entity.select(c("entity").alias("_e"), F.when(c("entity") % 3 == 0, F.concat(F.lit("solid_solution_"), c("route"))).otherwise(c("route")).alias("route"))
+    x = t.features.drop("route").join(route, c("entity") == c("_e")).select("entity", names.alias("names"), score.cast("long").alias("score"))
     critical = F.exists("names", lambda n: F.contains(n, F.lit("Critical")))
     return x.withColumn("status", F.when((c("score") > 50) | critical, "REJECT").otherwise("PASS"))
 

@@ -32,17 +32,19 @@ def latest_state(jobs: DataFrame, now: Column | None = None) -> DataFrame:
 
     ``now`` defaults to the newest event time of the whole table.
     """
-    last = jobs.groupBy("key").agg(F.max_by(F.struct("kind", "status", "ts"), F.struct("ts", "event_id")).alias("s"), F.count("*").alias("events"))
-    last = last.select("key", "s.kind", "s.status", "s.ts", "events")
+    last = jobs.groupBy("key").agg(F.max_by(F.struct("kind", "status", "ts"), F.struct("ts", "event_id")).alias("s"), F.count("*").alias("events"), F.min("ts").alias("started"))
+    last = last.select("key", "s.kind", "s.status", "s.ts", "events", "started")
     if now is None:
         last = last.crossJoin(F.broadcast(jobs.agg(F.max("ts").alias("_now"))))
     else:
         last = last.withColumn("_now", now)
-    age = F.unix_micros("_now") - F.unix_micros("ts")
     done = c("status").isin(*TERMINAL)
+    # a finished job ages from its end, an open one from its start
+    age = F.unix_micros("_now") - F.unix_micros(F.when(done, c("ts")).otherwise(c("started")))
     stale = ~done & (age > ceiling_seconds(c("kind")).cast("long") * 1000000)
     kept = last.where(~(done & (age > F.lit(FINISHED_TTL * 1000000))))
-    return kept.select("key", "kind", F.when(stale, "failed").otherwise(c("status")).alias("status"), "events", stale.alias("reaped"))
+    return kept.select("key", "kind", F.when(stale, "failed").otherwise(c("status")).alias("status"), "events", stale.alias("reaped"),
+                       F.when(done, c("ts")).when(stale, c("_now")).alias("finished"))
 
 
 STATE = "kind string, status string, ts timestamp, events long"

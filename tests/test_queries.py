@@ -29,7 +29,7 @@ def test_matches_sql(spark, con, name):
     df = queries()[name](spark, SF)
     cur = con.execute(oracle_sql()[name])
     msg = compare(df.columns, df.collect(), [d[0] for d in cur.description], cur.fetchall())
-    assert msg is None or msg.startswith("inexact"), msg
+    assert msg is None, msg
 
 
 def test_entry_and_registry(spark):
