@@ -55,17 +55,14 @@ def sliced(df: DataFrame, sets: list[list[Column]], keys: list[Column], aggs: li
 def common_rows(df: DataFrame, arm: str, key: list[str]) -> DataFrame:
     """Keep the rows whose key every arm produced.
 
-    One aggregate per key counts the arms, and the row set is restricted by a semi join; the number
-    of arms is a one-row aggregate joined in.
+    The rows of a key (arms x seeds of them) are gathered once with the set of its arms and spread
+    again where the set is full: one shuffle. The number of arms is a one-row aggregate joined in.
     """
     arms = df.agg(F.count_distinct(arm).alias("_arms"))
-    full = (
-        df.groupBy(*key)
-        .agg(F.count_distinct(arm).alias("_n"))
-        .join(F.broadcast(arms), c("_n") == c("_arms"))
-        .select(*key)
-    )
-    return df.join(full, key, "left_semi")
+    rest = [x for x in df.columns if x not in key]
+    held = df.groupBy(*key).agg(F.collect_set(arm).alias("_seen"), F.collect_list(F.struct(*rest)).alias("_rows"))
+    full = held.join(F.broadcast(arms), F.size("_seen") == c("_arms"))
+    return full.select(*key, F.inline("_rows")).select(*df.columns)
 
 
 def with_all(df: DataFrame, column: str) -> list[list[Column]]:

@@ -131,6 +131,13 @@ def all_triples(t):
     return g.to_triples(t.entity, t.comp, t.measurement_set, featurize(t.comp).select("entity", "md_avg", "tcp_risk"))
 
 
+def stored_triples(t, triples=None):
+    """Triples written once by predicate, so that a pattern reads the predicates it names and nothing is derived again."""
+    path = r.shared_folder(t.spark, "triples-by-predicate")
+    (all_triples(t) if triples is None else triples).write.partitionBy("p").parquet(path)
+    return t.spark.read.schema("s string, o string, datatype string, p string").parquet(path).select("s", "p", "o", "datatype")
+
+
 FIXTURE_SQL["f_triple_count"] = """
     SELECT * FROM (SELECT count(*) AS ents, count(DISTINCT name) AS names, count(DISTINCT route) AS routes FROM f_entity),
       (SELECT count(DISTINCT entity) AS comps, count(*) AS parts, count(DISTINCT component) AS els FROM f_comp_long),
@@ -146,11 +153,13 @@ def to_triples(t):
 
 
 @query("triples_sink", """
-    SELECT p, n FROM (SELECT unnest(['hasComposition', 'hasComponent', 'hasVariant']) AS p, unnest([comps, parts, ents]) AS n FROM f_triple_count)""")
+    SELECT p, n FROM (SELECT unnest(['type', 'label', 'processingMethod', 'hasMethod', 'source', 'tradeDesignation', 'hasVariant', 'hasComposition', 'hasComponent', 'element', 'hasMassFraction', 'numericValue', 'unitSymbol',
+        'hasPropertySet', 'measuresProperty', 'hasMeasurement', 'testTemperature', 'hasQuantity', 'mdAverage', 'tcpRisk']) AS p,
+      unnest([ents + names + routes + comps + parts + els + sets + meas, ents + els, ents, ents, ents, names, ents, comps, parts, parts, parts, parts + meas, parts + meas, sets, sets, meas, meas, meas, comps, comps]) AS n FROM f_triple_count)""")
 def triples_sink(t):
     """Triples written by named graph and predicate; a second write replaces its partitions only."""
     path = r.shared_folder(t.spark, "triples")
-    wanted = all_triples(t).where(c("p").isin("hasComposition", "hasComponent", "hasVariant")).withColumn("graph", F.lit("data"))
+    wanted = all_triples(t).withColumn("graph", F.lit("data"))
     r.replace_triples(wanted, path)
     r.replace_triples(wanted.where(c("p") == "hasVariant"), path)
     return t.spark.read.parquet(path).groupBy("p").agg(F.count("*").alias("n"))
@@ -158,12 +167,12 @@ def triples_sink(t):
 
 @query("optional_pattern", "SELECT 'variant/' || e.entity AS s, name AS label, route AS \"processingMethod\", src AS source, tcp_risk AS \"tcpRisk\" FROM f_entity e LEFT JOIN f_feat f ON e.entity = f.entity")
 def optional_pattern(t):
-    return g.optional_pattern(all_triples(t), ["label", "processingMethod", "source", "tcpRisk"], "Variant")
+    return g.optional_pattern(stored_triples(t), ["label", "processingMethod", "source", "tcpRisk"], "Variant")
 
 
 @query("hop_join", "SELECT 'variant/' || entity AS variant, component, amount FROM f_comp_long")
 def hop_join(t):
-    return g.compositions_from(g.to_triples(t.entity, t.comp, t.measurement_set, t.features.select("entity", "md_avg", "tcp_risk")))
+    return g.compositions_from(stored_triples(t))
 
 
 @query("pattern_union", "SELECT 'variant/' || entity AS variant, property, temp_c, value FROM f_measurement")
@@ -174,12 +183,12 @@ def pattern_union(t):
     meas = g.iri("meas", c("entity"), c("property"), c("temp_c"))
     direct = g._emit(em, [g.triple(g.iri("variant", c("entity")), "hasDirectMeasurement", meas), g.triple(meas, "measures", c("property"))])
     via = tr.where(~((c("p") == "hasPropertySet") & c("o").endswith("_em")))
-    return g.measurements_from(via.unionByName(direct))
+    return g.measurements_from(stored_triples(t, via.unionByName(direct)))
 
 
 @query("from_triples", "SELECT 'variant/' || entity AS variant, count(*) AS points, round(sum(value), 7) AS total FROM f_measurement GROUP BY entity")
 def from_triples(t):
-    return g.measurements_from(all_triples(t)).groupBy("variant").agg(F.count("*").alias("points"), rnd(F.sum("value"), 7).alias("total"))
+    return g.measurements_from(stored_triples(t)).groupBy("variant").agg(F.count("*").alias("points"), rnd(F.sum("value"), 7).alias("total"))
 
 
 @query("to_documents", """
