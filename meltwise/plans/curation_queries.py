@@ -217,28 +217,35 @@ def rt_ht_pair(t):
       (SELECT entity, property, max(value) AS value FROM f_measurement GROUP BY ALL) JOIN g USING (property) GROUP BY entity, target""")
 def targets_x_candidates(t):
     """Every candidate against every target spec: an equi join on property with the declared goals."""
-    goals = const_table(t.spark, [(1, "ys", 300.0), (1, "uts", 400.0), (2, "ys", 600.0), (2, "el", 200.0), (3, "em", 150.0)],
-                        "target int, property string, goal double")
+    goals = const_table(t.spark, GOALS, "target int, property string, goal double")
     best = t.measurement_set.groupBy("entity", "property").agg(F.max("value").alias("value"))
     return best.join(F.broadcast(goals), "property").groupBy("entity", "target").agg(
         F.count("*").alias("goals_seen"), F.count_if(c("value") >= 0.9 * c("goal")).alias("hits"))
 
 
+GOALS = [(1, "ys", 300.0), (1, "uts", 400.0), (2, "ys", 600.0), (2, "el", 200.0), (3, "em", 150.0)]
+
+
 @query("best_of_n", """
-    SELECT DISTINCT ON (target) target, entity, hits, passes FROM (
-      SELECT part % 20 AS target, f.entity, len(failed) = 0 AS passes, hits FROM f_plaus f
-      JOIN (SELECT entity, entity AS part, count(*) FILTER (value > 500) AS hits FROM f_measurement GROUP BY entity) h USING (entity))
-    ORDER BY target, passes DESC, hits DESC, entity""")
+    WITH g AS (SELECT * FROM (VALUES (1, 'ys', 300.0), (1, 'uts', 400.0), (2, 'ys', 600.0), (2, 'el', 200.0), (3, 'em', 150.0)) g(target, property, goal)),
+     v AS (SELECT entity, property, max(value) AS value FROM f_measurement GROUP BY ALL),
+     h AS (SELECT target, entity, count(*) FILTER (value >= 0.9::DOUBLE * goal) AS hits FROM v JOIN g USING (property) GROUP BY ALL)
+    SELECT DISTINCT ON (target) target, entity, hits, passes, safe FROM (
+      SELECT target, h.entity, hits, len(failed) = 0 AS passes, tcp_risk <> 'Critical' AS safe FROM h JOIN f_plaus p ON p.entity = h.entity JOIN f_feat f ON f.entity = h.entity)
+    ORDER BY target, passes DESC, safe DESC, hits DESC, entity""")
 def best_of_n(t):
-    """Best candidate per target by (plausible, hits), first wins: an aggregate, not a sort."""
+    """Best candidate per target by (plausible, not critical, hits), first wins: every candidate meets every target, one aggregate."""
     from meltwise.operators.validate import plausibility
 
     failed, _, _ = plausibility()
     ok = t.comp.join(t.entity.select("entity", "route"), "entity").select("entity", (F.size(failed) == 0).alias("passes"))
-    hits = t.measurement_set.groupBy("entity").agg(F.count_if(c("value") > 500).alias("hits"))
-    x = ok.join(hits, "entity").withColumn("target", c("entity") % 20)
-    best = F.max_by(F.struct("entity", "hits", "passes"), F.struct("passes", "hits", -c("entity")))
-    return x.groupBy("target").agg(best.alias("b")).select("target", "b.entity", "b.hits", "b.passes")
+    safe = t.features.select("entity", (c("tcp_risk") != "Critical").alias("safe"))
+    goals = const_table(t.spark, GOALS, "target int, property string, goal double")
+    best = t.measurement_set.groupBy("entity", "property").agg(F.max("value").alias("value"))
+    hits = best.join(F.broadcast(goals), "property").groupBy("entity", "target").agg(F.count_if(c("value") >= 0.9 * c("goal")).alias("hits"))
+    x = hits.join(ok, "entity").join(safe, "entity")
+    top = F.max_by(F.struct("entity", "hits", "passes", "safe"), F.struct("passes", "safe", "hits", -c("entity")))
+    return x.groupBy("target").agg(top.alias("b")).select("target", "b.*")
 
 
 @query("union_sources", "SELECT src, route, count(*) AS n FROM (SELECT 'orders:' || src AS src, route FROM f_entity UNION ALL SELECT 'parts', p_type FROM part) GROUP BY ALL")

@@ -611,12 +611,17 @@ def bucketise(t):
 @query("wilcoxon", """
     WITH d AS (SELECT property, abs(p1 - actual) - abs(p0 - actual) AS d FROM f_arms WHERE actual <> 0),
      r AS (SELECT property, d, rank() OVER (PARTITION BY property ORDER BY abs(d))
-        + (count(*) OVER (PARTITION BY property, abs(d)) - 1) / 2.0 AS rk FROM d WHERE d <> 0)
-    SELECT property, count(*) AS n_nonzero, round(least(sum(rk) FILTER (d > 0), sum(rk) FILTER (d < 0)), 1) AS w,
-      count(*) FILTER (d < 0) AS wins, count(*) FILTER (d > 0) AS losses FROM r GROUP BY property""")
+        + (count(*) OVER (PARTITION BY property, abs(d)) - 1) / 2.0 AS rk FROM d WHERE d <> 0),
+     w AS (SELECT property, count(*) AS n, least(sum(rk) FILTER (d > 0), sum(rk) FILTER (d < 0)) AS w,
+        count(*) FILTER (d < 0) AS wins, count(*) FILTER (d > 0) AS losses FROM r GROUP BY property),
+     ties AS (SELECT property, sum(k * k * k - k) AS ties FROM (SELECT property, abs(d) AS a, count(*)::DOUBLE AS k FROM r GROUP BY ALL) GROUP BY property),
+     z AS (SELECT *, abs((w - n * (n + 1) / 4.0) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0)) / sqrt(2.0) AS x FROM w JOIN ties USING (property)),
+     u AS (SELECT *, 1.0 / (1.0 + 0.3275911 * x) AS u FROM z)
+    SELECT property, n AS n_nonzero, round(w, 1) AS w, wins, losses,
+      round(least(1.0, u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * exp(-x * x)), 6) + 0 AS p FROM u""")
 def wilcoxon(t):
     x = m.paired_errors(seed42(t), KEY, 0, 1).withColumn("d", c("err_b") - c("err_a"))
-    return ranks.signed_rank(x, ["property"], "d").select("property", "n_nonzero", rnd(c("w"), 1).alias("w"), "wins", "losses")
+    return ranks.signed_rank(x, ["property"], "d").select("property", "n_nonzero", rnd(c("w"), 1).alias("w"), "wins", "losses", rnd(c("p")).alias("p"))
 
 
 @query("spearman", """
