@@ -161,12 +161,11 @@ def exclusion_list(t):
     SELECT p_partkey, n_nationkey, n_name FROM (SELECT p_partkey, p_name || ' from nation ' || (p_partkey % 25) AS answer FROM part) JOIN nation
       ON regexp_matches(lower(answer), '(nation[ _]' || n_nationkey || '$)|(\\bn' || n_nationkey || '\\b)')""")
 def alias_match(t):
-    """Answers that match any alias pattern; the alias table is the small side."""
+    """Answers that name an alias: the keys that an answer can mean are read off it, then joined on equality."""
     ans = t.part.select("p_partkey", F.lower(F.concat(c("p_name"), F.lit(" from nation "), (c("p_partkey") % 25).cast("string"))).alias("answer"))
-    k = c("n_nationkey").cast("string")
-    alias = t.nation.select("n_nationkey", "n_name", F.concat(
-        F.lit("(nation[ _]"), k, F.lit(r"$)|(\bn"), k, F.lit(r"\b)")).alias("pattern"))
-    return ans.join(F.broadcast(alias), F.expr("answer rlike pattern")).select("p_partkey", "n_nationkey", "n_name")
+    named = F.array_union(F.regexp_extract_all("answer", F.lit(r"nation[ _](\d+)$"), F.lit(1)), F.regexp_extract_all("answer", F.lit(r"\bn(\d+)\b"), F.lit(1)))
+    alias = t.nation.select("n_nationkey", "n_name", c("n_nationkey").cast("string").alias("alias"))
+    return ans.select("p_partkey", F.explode(named).alias("alias")).join(alias, "alias").select("p_partkey", "n_nationkey", "n_name")
 
 
 @query("unblind", """
@@ -277,11 +276,13 @@ def vocabulary(t):
     return names.where(~c("component").isin("Bal", "Other")).groupBy("component").agg(F.count("*").alias("entities"))
 
 
-@query("row_set_equal", "SELECT 'only_left' AS side, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'only_right', CAST(0 AS BIGINT)")
+@query("row_set_equal", """
+    WITH l AS (SELECT seed, entity, temp_c, property FROM f_pred WHERE arm = 0), r AS (SELECT seed, entity, temp_c, property FROM f_pred WHERE arm = 2)
+    SELECT 'only_left' AS side, count(*) AS n FROM (SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT 'only_right', count(*) FROM (SELECT * FROM r EXCEPT SELECT * FROM l)""")
 def row_set_equal(t):
-    """Arms 0 and 1 cover identical keys: both differences are empty."""
+    """Whether two arms cover the same keys: arm 2 lacks some entities, and the difference says how many rows."""
     k = lambda a: t.pred.where(c("arm") == a).select("seed", "entity", "temp_c", "property")
-    return joins.same_rows(k(0), k(1))
+    return joins.same_rows(k(0), k(2))
 
 
 @query("first_seen", """
@@ -375,10 +376,11 @@ def multi_variant(t):
 
 
 @query("split_arithmetic", """
-    SELECT count(*) AS upstream, count(*) FILTER (conf = 'HIGH') AS train, count(*) FILTER (conf = 'LOW') AS hold, count(*) FILTER (conf NOT IN ('HIGH', 'LOW')) AS neither,
-      CAST(0 AS BIGINT) AS overlap, true AS adds_up FROM f_entity""")
+    SELECT count(*) AS upstream, count(*) FILTER (a) AS train, count(*) FILTER (b) AS hold, count(*) FILTER (NOT a AND NOT b) AS neither, count(*) FILTER (a AND b) AS overlap,
+      count(*) = count(*) FILTER (a) + count(*) FILTER (b) + count(*) FILTER (NOT a AND NOT b) - count(*) FILTER (a AND b) AS adds_up
+    FROM (SELECT conf = 'HIGH' OR entity % 10 = 0 AS a, conf = 'LOW' AS b FROM f_entity)""")
 def split_arithmetic(t):
-    flags = t.entity.select("entity", (c("conf") == "HIGH").alias("a"), (c("conf") == "LOW").alias("b"))
+    flags = t.entity.select("entity", ((c("conf") == "HIGH") | (c("entity") % 10 == 0)).alias("a"), (c("conf") == "LOW").alias("b"))
     g = flags.groupBy("entity").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
     s = g.agg(F.count("*").alias("upstream"), F.count_if("a").alias("train"), F.count_if("b").alias("hold"),
               F.count_if(~c("a") & ~c("b")).alias("neither"), F.count_if(c("a") & c("b")).alias("overlap"))

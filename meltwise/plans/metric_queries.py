@@ -694,13 +694,15 @@ def usage_sums(t):
 
 
 @query("claims_check", """
-    WITH d AS (SELECT 'mae_' || arm || '_' || property AS claim, avg(abs(pred - actual)) AS derived FROM f_pred WHERE actual <> 0 GROUP BY arm, property)
-    SELECT claim, round(derived, 2) AS declared, round(derived, 6) AS derived, abs(round(derived, 2) - derived) <= 0.0051 AS holds FROM d""")
+    WITH d AS (SELECT 'mae_' || arm || '_' || property AS claim, arm, avg(abs(pred - actual)) AS derived FROM f_pred WHERE actual <> 0 GROUP BY arm, property),
+     x AS (SELECT claim, derived, round(round(derived, 2) + CASE WHEN arm = 1 THEN 0.03 ELSE 0 END, 2) AS declared FROM d)
+    SELECT claim, declared, round(derived, 6) AS derived, abs(declared - derived) <= 0.0051 AS holds FROM x""")
 def claims_check(t):
-    """Declared numbers (here: two-decimal print-outs) re-derived and compared at a tolerance."""
+    """Declared numbers (here: two-decimal print-outs, those of arm 1 off by 0.03) re-derived and compared at a tolerance."""
     d = t.pred.where(m.scorable()).groupBy("arm", "property").agg(m.mae().alias("x")).select(
         F.concat(F.lit("mae_"), c("arm").cast("string"), F.lit("_"), c("property")).alias("claim"), c("x").alias("derived"))
-    declared = d.select("claim", F.round("derived", 2).alias("declared"))
+    off = F.when(c("claim").startswith("mae_1_"), 0.03).otherwise(0.0)
+    declared = d.select("claim", F.round(F.round("derived", 2) + off, 2).alias("declared"))
     return d.join(declared, "claim").select(
         "claim", "declared", rnd(c("derived")).alias("derived"),
         (F.abs(c("declared") - c("derived")) <= 0.0051).alias("holds"))

@@ -260,14 +260,15 @@ def category_files(t):
     return t.spark.read.parquet(path).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query("derived_index", "SELECT 'only_left' AS side, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'only_right', CAST(0 AS BIGINT)")
+@query("derived_index", """
+    SELECT 'only_left' AS side, count(DISTINCT c.entity) AS n FROM f_comp_long c JOIN f_entity e ON e.entity = c.entity WHERE c.entity % 50 = 0 UNION ALL SELECT 'only_right', CAST(0 AS BIGINT)""")
 def derived_index(t):
-    """Rebuild the combined index from its category parts and compare it with the stored one."""
+    """Rebuild the combined index from its category parts and compare it with a stored one that misses some entities."""
     path = r.shared_folder(t.spark, "index")
     order = ["precip_poly", "precip_sc_ds", "solid_solution", "other"]
     x = t.comp.join(t.entity, "entity").select("entity", "name", classify.scope_class(c("name"))["category"].alias("category"))
     rank = F.array_position(F.array(*[F.lit(o) for o in order]), c("category"))
-    x.withColumn("part", rank).write.parquet(path)
+    x.where(c("entity") % 50 != 0).withColumn("part", rank).write.parquet(path)
     stored = t.spark.read.parquet(path).select("entity", "name", "category", "part")
     rebuilt = None
     for i, o in enumerate(order):
