@@ -146,13 +146,27 @@ def similar_texts(prints: DataFrame, bits: int, similarity: float) -> DataFrame:
     balls = balls.select("u", "c", (F.shiftleft("t", bits) + F.col("v").bitwiseXOR(F.col("f"))).alias("place"))
     at = Window.partitionBy("place").orderBy("u")
     met = balls.select("u", "c", F.first("u").over(at).alias("u0"), F.first("c").over(at).alias("c0"), F.lag("u").over(at).alias("u1"), F.lag("c").over(at).alias("c1"))
-    both = met.where(F.col("u0") != F.col("u")).select(F.inline(F.array(F.struct(F.col("u0").alias("a"), F.col("c0").alias("x"), F.col("u").alias("b"), F.col("c").alias("y")), F.struct(F.col("u1").alias("a"), F.col("c1").alias("x"), F.col("u").alias("b"), F.col("c").alias("y")))))
-    pairs = written(both.where((F.col("a") != F.col("b")) & near("x", "y")).select("a", "b").unionByName(same).distinct())
+    def link(kind: int, x: str, y: str):
+        return F.struct(F.col(x).alias("a"), F.col("u").alias("b"), F.col(y).alias("x"), F.lit(kind).alias("kind"))
+
+    found = F.filter(F.array(link(0, "u0", "c0"), link(1, "u1", "c1")), lambda p: (p["a"] != p["b"]) & (F.bit_count(p["x"].bitwiseXOR(F.col("c"))) <= CHECK_AT_MOST))
+    pairs = met.select(F.inline(found)).select("a", "b", "kind").unionByName(same.withColumn("kind", F.lit(0)))
+    pairs = written(pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")))
     left = prints.select(F.col("u").alias("_l"), F.col("w").alias("wl"))
     right = prints.select(F.col("u").alias("_r"), F.col("w").alias("wr"))
     apart = F.aggregate(F.zip_with("wl", "wr", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    joined = pairs.join(left, F.col("a") == F.col("_l")).join(right, F.col("b") == F.col("_r"))
-    return joined.where(apart <= int(bound(similarity) * n)).select("a", "b")
+
+    def verified(some: DataFrame) -> DataFrame:
+        joined = some.select("a", "b").join(left, F.col("a") == F.col("_l")).join(right, F.col("b") == F.col("_r"))
+        return joined.where(apart <= int(bound(similarity) * n)).select("a", "b")
+
+    # stars first; a chain is only followed between those whom no star has brought together
+    stars = written(verified(pairs.where("kind = 0")))
+    labels = written(components(stars))
+    one, two = labels.select(F.col("v").alias("_va"), F.col("label").alias("la")), labels.select(F.col("v").alias("_vb"), F.col("label").alias("lb"))
+    chains = pairs.where("kind = 1").join(one, F.col("a") == F.col("_va"), "left").join(two, F.col("b") == F.col("_vb"), "left")
+    chains = chains.where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    return stars.unionByName(verified(chains))
 
 
 def bound(similarity: float) -> float:
@@ -167,11 +181,12 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest id, null ids last.
 
     Near-duplicates are texts whose sets of ``words``-word shingles are about ``similarity`` alike or more, estimated by fingerprints of
-    16 blocks of ``bits`` bits (24, or 6 more than the logarithm of the number of rows), and all that such links connect. Texts
+    16 blocks of ``bits`` bits (8 more than the logarithm of the number of rows, 24 at least, so that chance meetings of a row do
+    not grow with the table), and all that such links connect. Texts
     without words (null, too) are one group. Among repeated rows of one id and text one stays. Empty table: no rows.
     """
     key = lambda df: F.xxhash64(F.coalesce(df["text"], F.lit("")))
-    bits = bits or max(24, (max(1, docs.count()) - 1).bit_length() + 6)
+    bits = bits or max(24, (max(1, docs.count()) - 1).bit_length() + 8)
     longs = -(-BLOCKS * bits // BITS)
     with tidy(docs.sparkSession):
         rows = written(docs.select(key(docs).alias("k"), "doc_id", wide_fingerprint(docs["text"], words, longs).alias("w")))
