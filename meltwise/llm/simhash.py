@@ -149,7 +149,7 @@ def similar_texts(prints: DataFrame, bits: int, similarity: float) -> DataFrame:
     def link(kind: int, x: str, y: str):
         return F.struct(F.col(x).alias("a"), F.col("u").alias("b"), F.col(y).alias("x"), F.lit(kind).alias("kind"))
 
-    found = F.filter(F.array(link(0, "u0", "c0"), link(1, "u1", "c1")), lambda p: (p["a"] != p["b"]) & (F.bit_count(p["x"].bitwiseXOR(F.col("c"))) <= CHECK_AT_MOST))
+    found = F.filter(F.array(link(1, "u0", "c0"), link(2, "u1", "c1")), lambda p: (p["a"] != p["b"]) & (F.bit_count(p["x"].bitwiseXOR(F.col("c"))) <= CHECK_AT_MOST))
     pairs = met.select(F.inline(found)).select("a", "b", "kind").unionByName(same.withColumn("kind", F.lit(0)))
     pairs = written(pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")))
     left = prints.select(F.col("u").alias("_l"), F.col("w").alias("wl"))
@@ -160,13 +160,14 @@ def similar_texts(prints: DataFrame, bits: int, similarity: float) -> DataFrame:
         joined = some.select("a", "b").join(left, F.col("a") == F.col("_l")).join(right, F.col("b") == F.col("_r"))
         return joined.where(apart <= int(bound(similarity) * n)).select("a", "b")
 
-    # stars first; a chain is only followed between those whom no star has brought together
-    stars = written(verified(pairs.where("kind = 0")))
-    labels = written(components(stars))
-    one, two = labels.select(F.col("v").alias("_va"), F.col("label").alias("la")), labels.select(F.col("v").alias("_vb"), F.col("label").alias("lb"))
-    chains = pairs.where("kind = 1").join(one, F.col("a") == F.col("_va"), "left").join(two, F.col("b") == F.col("_vb"), "left")
-    chains = chains.where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    return stars.unionByName(verified(chains))
+    # shared blocks first, then stars, then chains, each only between those whom no link before has brought together
+    edges = written(verified(pairs.where("kind = 0")))
+    for kind in (1, 2):
+        labels = written(components(edges))
+        one, two = labels.select(F.col("v").alias("_va"), F.col("label").alias("la")), labels.select(F.col("v").alias("_vb"), F.col("label").alias("lb"))
+        more = pairs.where(F.col("kind") == kind).join(one, F.col("a") == F.col("_va"), "left").join(two, F.col("b") == F.col("_vb"), "left")
+        edges = written(edges.unionByName(verified(more.where(F.coalesce("la", "a") != F.coalesce("lb", "b")))))
+    return edges
 
 
 def bound(similarity: float) -> float:
