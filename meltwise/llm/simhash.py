@@ -79,121 +79,127 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(found, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-# Documents alike at word level: many blocks of bits instead of one fingerprint
+# Documents alike at word level: an exact join of shingle sets
 
-BLOCKS = 16
-CHECK = 36  # bits of other blocks that ride along with a block, to drop chance meetings early
-CHECK_AT_MOST = 13
+SAMPLE = 8  # every so many sets are counted to order shingles by how common they are
+FEW = 4  # pairs left for each held shingle at which rounds end
+CHUNK = 512  # members of a part of a shingle's documents that is compared with another part as a whole
 
 
-def wide_text(text: str | None, words: int, longs: int) -> np.ndarray:
-    """``longs`` x 64 fingerprint bits of a text's shingles."""
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles, as signed longs; none for a text without words."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return np.zeros(longs, np.int64)
+        return np.zeros(0, np.int64)
     joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(tokens) - words + 1)
     starts, ends = starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist()
-    votes = np.zeros(longs * BITS, np.int64)
-    for i in range(0, n, SLAB // longs):
-        part = slice(i, i + SLAB // longs)
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[part], ends[part], strict=True)], np.uint64)
-        wide = np.empty((len(h), longs), "<u8")
-        for j in range(longs):  # further hashes from the first one
-            x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            wide[:, j] = x ^ (x >> np.uint64(32))
-        votes += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(votes * 2 > n, bitorder="little").view("<i8").astype(np.int64)
-
-
-def wide_fingerprint(text: Column, words: int, longs: int) -> Column:
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64).view(np.int64))
+
+
+def shingles(text: Column, words: int) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([wide_text(t, words, longs) for t in s])
+            yield pd.Series([shingle_set(t, words) for t in s])
 
     return F.pandas_udf(run, "array<long>")(text)
 
 
-def _bits(longs: Column, start: int, width: int) -> Column:
-    """``width`` bits (under 64) of an array of longs, from bit ``start``."""
-    at, off = divmod(start, BITS)
-    low = F.shiftrightunsigned(longs[at], off)
-    if off + width > BITS:
-        low = low.bitwiseOR(F.shiftleft(longs[at + 1], BITS - off))
-    return low.bitwiseAND(F.lit((1 << width) - 1))
+def _least_common(sets: DataFrame, similarity: float) -> Column:
+    """The least common shingles of a set ``h``, so many that sets of that similarity share one of them.
+
+    Any fixed order of all shingles makes this true; counts of a sample only keep frequent shingles at its end.
+    """
+    often = max(2, sets.count() // 20_000)
+    seen = sets.where(F.pmod("u", F.lit(SAMPLE)) == 0).select(F.explode("h").alias("s")).groupBy("s").count().where(F.col("count") >= often)
+    seen = sorted(map(tuple, seen.collect()))
+    common = sets.sparkSession.sparkContext.broadcast((np.array([s for s, _ in seen], np.int64), np.array([c for _, c in seen], np.int64)))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names, counts = common.value
+
+        def first(h: np.ndarray) -> np.ndarray:
+            n = len(h)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                h = h[np.lexsort((h, np.where(names[at] == h, counts[at], 0)))]
+            return h[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else h
+
+        for s in batches:
+            yield pd.Series([first(np.asarray(h, np.int64)) for h in s])
+
+    return F.pandas_udf(run, "array<long>")(F.col("h"))
 
 
-def similar_texts(prints: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """(a, b): ids ``u`` of different fingerprints ``w`` (array of longs) that are as near as texts of that similarity.
+def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of different sets (``u`` name, ``h`` distinct longs; repeated rows are one) that connect all that pairs of this Jaccard similarity connect.
 
-    A fingerprint of BLOCKS x ``bits`` bits is cut into blocks. Those who share a block are linked to the smallest of them; the
-    distinct values of a block are ball-hashed with half radius 1, so that at most bits + 1 values meet at a variant. Who meets is
-    compared by 36 bits of other blocks and then by the whole fingerprint.
+    Two such sets share one of their least common shingles. All who hold such a shingle are compared with one of them, hash-drawn
+    anew each round, while many pairs are left and this brings sets together; then all pairs of a shingle that no link has connected
+    yet are compared, however many. Every link is verified.
     """
-    n = BLOCKS * bits
-    rows = [F.struct(F.lit(t).alias("t"), _bits(F.col("w"), t * bits, bits).alias("v"), _bits(F.col("w"), ((t + 1) * bits) % (n - CHECK), CHECK).alias("c")) for t in range(BLOCKS)]
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= CHECK_AT_MOST
-    blocks = prints.select("u", F.inline(F.array(*rows)))
-    reps = written(blocks.groupBy("t", "v").agg(F.min(F.struct("u", "c")).alias("r")).select(F.col("t").alias("_t"), F.col("v").alias("_v"), F.col("r.u").alias("ru"), F.col("r.c").alias("rc")))
-    same = blocks.join(reps, (F.col("t") == F.col("_t")) & (F.col("v") == F.col("_v"))).where((F.col("u") != F.col("ru")) & near("c", "rc")).select(F.col("ru").alias("a"), F.col("u").alias("b"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(bits)])
-    balls = reps.select(F.col("ru").alias("u"), F.col("_t").cast("long").alias("t"), F.col("rc").alias("c"), F.col("_v").alias("v"), F.explode(flips).alias("f"))
-    balls = balls.select("u", "c", (F.shiftleft("t", bits) + F.col("v").bitwiseXOR(F.col("f"))).alias("place"))
-    at = Window.partitionBy("place").orderBy("u")
-    met = balls.select("u", "c", F.first("u").over(at).alias("u0"), F.first("c").over(at).alias("c0"), F.lag("u").over(at).alias("u1"), F.lag("c").over(at).alias("c1"))
-    def link(kind: int, x: str, y: str):
-        return F.struct(F.col(x).alias("a"), F.col("u").alias("b"), F.col(y).alias("x"), F.lit(kind).alias("kind"))
-
-    found = F.filter(F.array(link(1, "u0", "c0"), link(2, "u1", "c1")), lambda p: (p["a"] != p["b"]) & (F.bit_count(p["x"].bitwiseXOR(F.col("c"))) <= CHECK_AT_MOST))
-    pairs = met.select(F.inline(found)).select("a", "b", "kind").unionByName(same.withColumn("kind", F.lit(0)))
-    pairs = written(pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")))
-    left = prints.select(F.col("u").alias("_l"), F.col("w").alias("wl"))
-    right = prints.select(F.col("u").alias("_r"), F.col("w").alias("wr"))
-    apart = F.aggregate(F.zip_with("wl", "wr", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-    def verified(some: DataFrame) -> DataFrame:
-        joined = some.select("a", "b").join(left, F.col("a") == F.col("_l")).join(right, F.col("b") == F.col("_r"))
-        return joined.where(apart <= int(bound(similarity) * n)).select("a", "b")
-
-    # shared blocks first, then stars, then chains, each only between those whom no link before has brought together
-    edges = written(verified(pairs.where("kind = 0")))
-    for kind in (1, 2):
-        labels = written(components(edges))
-        one, two = labels.select(F.col("v").alias("_va"), F.col("label").alias("la")), labels.select(F.col("v").alias("_vb"), F.col("label").alias("lb"))
-        more = pairs.where(F.col("kind") == kind).join(one, F.col("a") == F.col("_va"), "left").join(two, F.col("b") == F.col("_vb"), "left")
-        edges = written(edges.unionByName(verified(more.where(F.coalesce("la", "a") != F.coalesce("lb", "b")))))
-    return edges
-
-
-def bound(similarity: float) -> float:
-    """Share of bits in which texts of this Jaccard similarity differ, with an allowance of one standard deviation of 384 bits."""
-    from math import acos, pi, sqrt
-
-    p = acos(2 * similarity / (1 + similarity)) / pi
-    return p + sqrt(p * (1 - p) / 384)
-
-
-def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int | None = None) -> DataFrame:
+    n = F.size("h")
+    held = sets.select("u", n.alias("n"), F.posexplode(_least_common(sets, similarity)).alias("i", "s"))
+    several = written(held.groupBy("s").agg(F.min("u").alias("x"), F.max("u").alias("y")).where("x <> y").select(F.col("s").alias("_s")))
+    held = written(held.join(several, F.col("s") == F.col("_s")).select("s", "u", "n", "i").distinct())
+
+    def able(a: str, b: str) -> Column:
+        """Whether lengths and places of a shared shingle leave room for the similarity."""
+        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+        rest = F.least(na - F.col(f"{a}.i"), nb - F.col(f"{b}.i")) + F.least(F.col(f"{a}.i"), F.col(f"{b}.i"))
+        return (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9) & (rest * (1 + similarity) >= similarity * (na + nb) - 1e-9)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.distinct())
+        named = written(pairs.select(F.col("a").alias("_n")).unionByName(pairs.select(F.col("b").alias("_n"))).distinct())
+        some = written(sets.join(named, F.col("u") == F.col("_n"), "left_semi").dropDuplicates(["u"]).select("u", "h"))
+        one, two = some.select(F.col("u").alias("_a"), F.col("h").alias("ha")), some.select(F.col("u").alias("_b"), F.col("h").alias("hb"))
+        both = F.size(F.array_intersect("ha", "hb"))
+        joined = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+        return joined.where(both * (1 + similarity) >= similarity * (F.size("ha") + F.size("hb")) - 1e-9).select("a", "b")
+
+    edges, known, turn, size = None, -1, 0, held.count()
+    while True:
+        now, found = held.withColumn("g", F.col("u")), 0
+        if edges is not None:
+            labels = written(components(edges)).select(F.col("v").alias("_v"), "label")
+            now, found = held.join(labels, F.col("u") == F.col("_v"), "left").withColumn("g", F.coalesce("label", "u")).drop("_v", "label"), edges.count()
+        drawn = F.struct(F.xxhash64(F.lit(turn), F.col("u")).alias("o"), "u", "g", "n", "i")
+        mixed = now.groupBy("s", "g").agg(F.count("*").alias("m"), F.min(drawn).alias("hub")).groupBy("s").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"), F.min("hub").alias("hub"))
+        mixed = written(mixed.where("m * m > q").select(F.col("s").alias("_s"), "m", "q", "hub"))
+        now = written(now.join(mixed, F.col("s") == F.col("_s")).select("s", "m", "hub", F.struct("u", "g", "n", "i").alias("own")))
+        left = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
+        if found == known or left <= FEW * size:
+            break
+        pairs = now.where((F.col("hub.g") != F.col("own.g")) & able("hub", "own")).select(F.least("hub.u", "own.u").alias("a"), F.greatest("hub.u", "own.u").alias("b"))
+        more = verified(pairs)
+        edges, known, turn = written(more if edges is None else edges.unionByName(more)), found, turn + 1
+    # what no link has connected: parts of a shingle's holders, each part with each
+    parts = now.select("s", F.col("own"), F.ceil(F.col("m") / CHUNK).cast("int").alias("c")).withColumn("mine", F.pmod(F.xxhash64("own.u"), F.col("c")).cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    one = parts.select(F.col("s").alias("s1"), F.col("mine").alias("x1"), F.col("other").alias("y1"), F.col("own").alias("one"))
+    two = parts.select(F.col("s").alias("s2"), F.col("other").alias("x2"), F.col("mine").alias("y2"), F.col("own").alias("two"))
+    meet = (F.col("s1") == F.col("s2")) & (F.col("x1") == F.col("x2")) & (F.col("y1") == F.col("y2")) & (F.col("one.u") < F.col("two.u")) & (F.col("one.g") != F.col("two.g")) & able("one", "two")
+    more = verified(one.join(two, meet).select(F.col("one.u").alias("a"), F.col("two.u").alias("b")))
+    return written(more if edges is None else edges.unionByName(more))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest id, null ids last.
 
-    Near-duplicates are texts whose sets of ``words``-word shingles are about ``similarity`` alike or more, estimated by fingerprints of
-    16 blocks of ``bits`` bits (8 more than the logarithm of the number of rows, 24 at least, so that chance meetings of a row do
-    not grow with the table), and all that such links connect. Texts
-    without words (null, too) are one group. Among repeated rows of one id and text one stays. Empty table: no rows.
+    Near-duplicates are texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, and all that
+    such links connect; no pair is missed. Texts without words (null, too) are one group. Among repeated rows of one id and text one
+    stays. Empty table: no rows.
     """
     key = lambda df: F.xxhash64(F.coalesce(df["text"], F.lit("")))
-    bits = bits or max(24, (max(1, docs.count()) - 1).bit_length() + 8)
-    longs = -(-BLOCKS * bits // BITS)
     with tidy(docs.sparkSession):
-        rows = written(docs.select(key(docs).alias("k"), "doc_id", wide_fingerprint(docs["text"], words, longs).alias("w")))
-        prints = written(rows.groupBy(F.xxhash64("w").alias("u")).agg(F.first("w").alias("w")))
-        labels = written(components(written(similar_texts(prints, bits, similarity))))
-    named = rows.select("k", "doc_id", F.xxhash64("w").alias("u")).join(labels.withColumnRenamed("v", "_v"), F.col("u") == F.col("_v"), "left").withColumn("_root", F.coalesce("label", "u"))
+        sets = written(docs.select(key(docs).alias("k"), "doc_id", shingles(docs["text"], words).alias("h")).withColumn("u", F.xxhash64("h")))
+        labels = written(components(similar_sets(sets.select("u", "h"), similarity)))
+    named = sets.select("k", "doc_id", "u").join(labels.withColumnRenamed("v", "_v"), F.col("u") == F.col("_v"), "left").withColumn("_root", F.coalesce("label", "u"))
     stays = named.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("k").alias("k"))).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.k").alias("_k"))
     kept = pack(docs, _key=key(docs), _own=docs["doc_id"], _order=F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]))
     kept = kept.join(stays, (F.col("_key") == F.col("_k")) & F.col("_own").eqNullSafe(F.col("_id")), "left_semi")

@@ -1,6 +1,7 @@
 """Operators on documents: contracts against plain versions, and odd inputs."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -318,6 +319,54 @@ def test_one_of_each_group_stays(spark, odd, clashing, none):
     assert one_of_each(clashing).columns == clashing.columns and one_of_each(none).count() == 0
 
 
+def test_near_copies_by_sets_of_shingles(spark):
+    from meltwise.llm.simhash import one_of_each
+
+    line = words(12, 900)
+    docs = [(i, " ".join([line] * 10 + [words(100, 910 + i)]), "x", "s", 0) for i in (1, 2)]  # a frequent line alone
+    own = words(100, 920)
+    docs += [(3, line + " " + own, "x", "s", 0), (4, " ".join([line] * 9 + [own]), "x", "s", 0)]  # sets alike by 0.9
+    assert sorted(r.doc_id for r in one_of_each(spark.createDataFrame(docs, DOCS)).collect()) == [1, 2, 3]
+
+
+def test_every_pair_at_the_bound_is_found(spark):
+    from meltwise.llm.simhash import similar_sets
+
+    sets = {1000 * i + j: [1000 * i + k for k in range(90 + 10 * j)] for i in range(1, 301) for j in (0, 1)}  # 300 pairs alike by 0.9
+    sets |= {u + 500_000: [x + 500_000 for x in h] + [x + 700_000 for x in h[:12 * (u % 1000)]] for u, h in sets.items()}  # and 300 by 90/112
+    got = similar_sets(spark.createDataFrame(list(sets.items()), "u long, h array<long>"), 0.8)
+    assert {tuple(x) for x in got.collect()} == {(u, u + 1) for u in sets if u % 1000 == 0}
+
+
+def test_near_copies_inside_a_family(spark):
+    from meltwise.llm.simhash import similar_sets
+
+    r = random.Random(4)
+    family = [r.sample(range(40), 30) + [1000 * i + j for j in range(20)] for i in range(1, 600)]  # alike by a half at most
+    planted = {(100 + i, 700 + i): family[100 + i][:-2] for i in range(60)}  # alike by 0.96
+    sets = dict(enumerate(family)) | {b: h for (_, b), h in planted.items()}
+    got = similar_sets(spark.createDataFrame([(u, h) for u, h in sets.items()], "u long, h array<long>"), 0.8)
+    want = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    assert {tuple(x) for x in got.distinct().collect()} == want and set(planted) <= want
+
+
+def test_near_copies_of_a_large_group_beside_others(spark, monkeypatch):
+    from meltwise.llm import simhash
+    from meltwise.llm.components import components
+
+    monkeypatch.setattr(simhash, "FEW", 0)  # rounds first
+    r = random.Random(5)
+    sets = {u: [*r.sample(range(40), 36), u + 100] for u in range(200)} | {u: [*range(8), *range(1000 * u, 1000 * u + 32)] for u in range(200, 230)}
+    got = {x.v: x.label for x in components(simhash.similar_sets(spark.createDataFrame(list(sets.items()), "u long, h array<long>"), 0.8)).collect()}
+    root = {u: u for u in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]}) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {u: low if x == high else x for u, x in root.items()}
+    assert {u: got.get(u, u) for u in sets} == root
+
+
 # toxicity
 
 def test_marginals_are_those_of_all_taggings():
