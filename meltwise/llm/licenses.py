@@ -38,67 +38,62 @@ STRENGTH = {"cc-by": 0.6, "gpl": 0.8, "reserved": 0.3}
 TAG = "spdx license identifier"
 _TAG_LINE = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)")
 _TOKEN = re.compile(r"\(|\)|[a-z0-9.+\-:]+")
+MOST = 1 << 16  # combinations up to which an expression is written out as choices
+_BLANKS = re.compile(r"[ \t]*")
 _POWER = {"or": 1, "and": 2, "with": 3}
 _FORM = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
 def to_postfix(text: str) -> list[str] | None:
     """The longest well-formed licence expression at the start of ``text`` in postfix order; None if there is none."""
-    tokens: list[str] = []
-    at = 0
-    while m := _TOKEN.match(text, at):
-        tokens.append(m[0])
-        at = m.end() + len(text[m.end() :]) - len(text[m.end() :].lstrip(" \t"))
-    for end in range(len(tokens), 0, -1):
-        if (out := _shunt(tokens[:end])) is not None:
-            return out
-        if end < len(tokens) - 64:
-            break
-    return None
-
-
-def _shunt(tokens: list[str]) -> list[str] | None:
     out: list[str] = []
     held: list[str] = []
-    operand = False  # whether an operand has just ended
-    for t in tokens:
+    operand, depth, best = False, 0, None  # whether an operand has just ended, open brackets, the last complete expression
+    at = 0
+    while m := _TOKEN.match(text, at):
+        t, at = m[0], _BLANKS.match(text, m.end()).end()
         if t in _POWER:
             if not operand:
-                return None
+                break
             while held and held[-1] != "(" and _POWER[held[-1]] >= _POWER[t]:
                 out.append(held.pop())
             held.append(t)
             operand = False
         elif t == "(":
             if operand:
-                return None
+                break
             held.append(t)
+            depth += 1
         elif t == ")":
-            if not operand:
-                return None
-            while held and held[-1] != "(":
+            if not operand or not depth:
+                break
+            while held[-1] != "(":
                 out.append(held.pop())
-            if not held:
-                return None
             held.pop()
+            depth -= 1
         else:
             if operand:
-                return None
+                break
             out.append(t)
             operand = True
-    if not operand or "(" in held:
-        return None
-    return out + held[::-1]
+        if operand and not depth:
+            best = len(out), held[::-1]
+    return None if best is None else out[: best[0]] + best[1]
 
 
-def choices(postfix: list[str]) -> set[frozenset[str]]:
-    """What an expression allows: sets of licences that together suffice. ``a with e`` is one licence of that name."""
+def choices(postfix: list[str], most: float = float("inf")) -> set[frozenset[str]] | None:
+    """What an expression allows: sets of licences that together suffice. ``a with e`` is one licence of that name.
+
+    None if an ``and`` or ``with`` combines more than ``most`` pairs of them.
+    """
     stack: list[set[frozenset[str]]] = []
     for t in postfix:
         if t not in _POWER:
             stack.append({frozenset([t])})
             continue
         right, left = stack.pop(), stack.pop()
+        if t != "or" and len(left) * len(right) > most:
+            return None
         if t == "or":
             stack.append(left | right)
         elif t == "and":
@@ -131,7 +126,7 @@ def scan_text(text: str | None, auto) -> tuple:
     n, first, last, score = 0, None, None, 0.0
     base: set[str] = set()
     labels: set[str] = set()
-    allowed: set[frozenset[str]] = set()
+    allowed: set[str] = set()
     word, at, tagged = 0, 0, False
     for end, (length, found) in auto.iter(form):
         start = end - length + 1
@@ -152,9 +147,10 @@ def scan_text(text: str | None, auto) -> tuple:
         for m in _TAG_LINE.finditer(text.lower()):
             if postfix := to_postfix(m[1].strip()):
                 labels.update(t for t in postfix if t not in _POWER)
-                allowed |= choices(postfix) if sum(t == "and" for t in postfix) < 12 else set()
+                ways = choices(postfix, MOST)
+                allowed |= {" ".join(postfix)} if ways is None else {"&".join(sorted(c)) for c in ways}
                 score = 1.0
-    return len(words), n, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, "|".join(sorted("&".join(sorted(c)) for c in allowed))
+    return len(words), n, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, "|".join(sorted(allowed))
 
 
 FIELDS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "allowed")
@@ -165,7 +161,8 @@ def scan(text: Column) -> Column:
 
     ``n_base`` counts all places, overlapping ones too, where a base phrase's words stand one after another, ``first_word`` and
     ``last_word`` the smallest and largest of them (words from 0). ``labels`` adds notice phrases and the licences of tagged
-    expressions, ``allowed`` lists the choices such expressions leave ("a&b|c"), ``score`` is the strongest evidence: 1 for an
+    expressions, ``allowed`` lists the choices such expressions leave ("a&b|c"), or gives an expression of too many choices itself in postfix
+    order ("a b or c d or and"), ``score`` is the strongest evidence: 1 for an
     expression, less for phrases, 0 for none. Null text: as the empty one, no words, no places, no labels.
     """
 

@@ -222,6 +222,18 @@ def test_licence_expressions():
     assert to_postfix("mit or") == ["mit"]
 
 
+def test_licence_expressions_of_any_length():
+    from meltwise.llm.licenses import automaton, scan_text, to_postfix
+
+    assert to_postfix("mit copyright " + "word " * 300) == ["mit"]
+    assert to_postfix("mit or (bsd and " + "(" * 200) == ["mit"] and to_postfix("mit and (bsd) with exc) or isc") == ["mit", "bsd", "exc", "with", "and"]
+    text = "SPDX-License-Identifier: "
+    assert scan_text(text + "MIT Copyright 2020 " + "word " * 200, automaton())[5:] == ("mit", 1.0, "mit")
+    names = [f"l{i:02}" for i in range(14)]
+    assert scan_text(text + " AND ".join(names), automaton())[7] == "&".join(names)
+    assert scan_text(text + " AND ".join(f"(a{i} OR b{i})" for i in range(20)), automaton())[7].startswith("a0 b0 or a1 b1 or and")
+
+
 def test_licence_places(odd, odd_rows, clashing, none, spark):
     from meltwise.llm.licenses import BASE_PHRASES, scan
 
