@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a question with other parameters keeps its template. Windows of WIDTH
 template tokens are hash-joined: benchmark items at every place, documents at every STRIDE-th, which still meets every
-common run of WIDTH + STRIDE - 1 tokens. Rows that meet are then aligned with the item, token by token, and the values
+common run of WIDTH + STRIDE - 1 tokens. Where a window is poor in words, its own values and a longer template are joined
+instead, at every place of both. Rows that meet are then aligned with the item, token by token, and the values
 in the slots are compared: the same value must always turn into the same value, or the likeness is a chance of form.
 """
 
@@ -16,6 +17,7 @@ from meltwise.llm.common import cut, shared_path, text_column
 WIDTH, STRIDE = 5, 4
 LITERALS = 3  # words that a window holds at least beside its placeholders
 BROADCAST_ROWS = 500_000
+GAPS = (0, *[2**i for i in range(16)], None)  # distances of shifts that make one run; None: any
 NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 #: Units of measure that follow a number.
 UNITS = (
@@ -48,6 +50,54 @@ def _windows(tokens: Column, width: int, stride: int) -> Column:
     return F.when(F.size(tokens) >= width, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named inside."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _is_slot(x: Column) -> Column:
+    return x.isin(NUM, NAME, UNIT)
+
+
+def _poor(tokens: Column) -> Column:
+    """Places of windows with fewer than LITERALS words beside their placeholders."""
+    n, few = F.size(tokens), WIDTH - LITERALS + 1
+    held = F.when(n >= WIDTH, F.filter(F.sequence(F.lit(0), n - 1), lambda i: _is_slot(F.get(tokens, i)))).otherwise(F.array().cast("array<int>"))
+    close = lambda at: F.when(
+        F.size(at) >= few,
+        F.filter(F.transform(F.sequence(F.lit(0), F.size(at) - few), lambda k: F.struct(F.get(at, k).alias("a"), F.get(at, k + few - 1).alias("z"))), lambda x: x["z"] - x["a"] < WIDTH),
+    )
+    runs = F.transform(_bound(held, close), lambda x: F.sequence(F.greatest(x["z"] - WIDTH + 1, F.lit(0)), F.least(x["a"], n - WIDTH)))
+    return F.coalesce(F.array_distinct(F.flatten(runs)), F.array().cast("array<int>"))
+
+
+def _poor_keys(rows: DataFrame, most: Column) -> DataFrame:
+    """``rows`` (``t`` template, ``r`` raw tokens) with (at, h) for each poor place: its own values, and its template up to LITERALS words.
+
+    The longer template is left out where ``most`` tokens do not reach so many words.
+    """
+    names = [c for c in rows.columns if c not in ("t", "r")]
+    parts = F.transform(_poor(F.col("t")), lambda i: F.struct(i.alias("at"), F.slice("t", i + 1, most).alias("p"), F.slice("r", i + 1, F.lit(WIDTH)).alias("v")))
+    places = rows.select(*names, F.inline(parts))
+    ends = F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: ~_is_slot(F.get(F.col("p"), i - 1)))
+    places = places.withColumn("e", F.get(ends, F.lit(LITERALS - 1)))
+    longer = F.when(F.col("e").isNotNull(), F.xxhash64(F.lit("longer"), F.slice("p", F.lit(1), F.coalesce("e", F.lit(0)))))
+    return places.select(*names, "at", "e", F.explode(F.array(F.xxhash64(F.lit("values"), F.transform("v", F.lower)), longer)).alias("h")).where("h is not null")
+
+
+def _runs(shifts: Column) -> Column:
+    """(i, n): runs of neighbouring shifts, for every distance that may lie between neighbours."""
+    k = F.size(shifts)
+
+    def runs(gap: int | None) -> Column:
+        if gap is None:
+            return F.array(F.struct(F.lit(0).alias("i"), k.alias("n")))
+        starts = F.filter(F.sequence(F.lit(0), k - 1), lambda i: (i == 0) | (F.get(shifts, i) - F.get(shifts, i - 1) > gap))
+        return _bound(starts, lambda s: F.transform(s, lambda i, x: F.struct(i.alias("i"), (F.coalesce(F.get(s, x + 1), k) - i).alias("n"))))
+
+    return F.array_distinct(F.flatten(F.array(*[runs(g) for g in GAPS])))
+
+
 def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -56,28 +106,38 @@ def matches(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
     """(_k, item_id, matched, item_tokens, coverage, slots, changed): rows of ``docs`` and items that they give away.
 
     ``_k`` is ``row_hash`` of the row. An item (item_id, text) is given away if ``least`` of its template's tokens stand in the document in
-    their order (all shifts together) and its slots are consistent there: over all aligned slots no value of the item
-    becomes two values. ``changed`` counts slots with another value: 0 for a plain copy.
+    their order in one run of shifts (one shift, neighbouring ones, or all together) and its slots are consistent there: over
+    the run's aligned slots no value of the item becomes two values. Where a part of the shifts gives the item away with other values,
+    only tokens inside common windows count, as single tokens meet by chance at any shift. Of several such runs the one with most tokens, then with fewest
+    other values, is told. ``changed`` counts slots with another value: 0 for a plain copy.
 
-    Items shorter than a window and stride are looked for whole at every place. Null and empty texts match nothing; a null item id
-    is a value like others. Repeated rows of either side are one match. Empty tables: no rows.
+    Items shorter than a window and stride, or with fewer than LITERALS words in all, are looked for whole at every place. Null and
+    empty texts match nothing; a null item id is a value like others. Repeated rows of either side are one match. Empty tables: no rows.
     """
     spark = docs.sparkSession
     items = cut(items.select("item_id", template(F.coalesce(items["text"], F.lit(""))).alias("tokens"), raw_tokens(F.coalesce(items["text"], F.lit(""))).alias("raw")).where(F.size("tokens") > 0).distinct())
     n_items = items.count()
-    shortest = WIDTH + STRIDE - 1
-    short = sorted(r[0] for r in items.where(F.size("tokens") < shortest).select(F.size("tokens")).distinct().collect())  # fewer than a window's lengths
-    plans = [(WIDTH, STRIDE, items.where(F.size("tokens") >= shortest))] + [(n, 1, items.where(F.size("tokens") == n)) for n in short]
+    whole = (F.size("tokens") < WIDTH + STRIDE - 1) | (F.size(F.filter("tokens", lambda x: ~_is_slot(x))) < LITERALS)
+    lengths = sorted(r[0] for r in items.where(whole).select(F.size("tokens")).distinct().collect())
+    plans = [(WIDTH, STRIDE, items.where(F.size("tokens") >= WIDTH + STRIDE - 1))] + [(n, 1, items.where(whole & (F.size("tokens") == n))) for n in lengths]
     key, text = row_hash(docs), F.coalesce(text_column(docs), F.lit(""))
     met = None
     for width, stride, some in plans:
         w = some.select("item_id", "tokens", F.posexplode(_windows(F.col("tokens"), width, 1)).alias("at", "_h"))
-        if stride > 1:  # a window of placeholders alone says nothing
-            w = w.where(F.size(F.filter(F.slice("tokens", F.col("at") + 1, F.lit(width)), lambda x: ~x.isin(NUM, NAME, UNIT))) >= LITERALS)
+        if stride > 1:  # a window of placeholders alone says nothing: such places have keys of their own
+            w = w.where(F.size(F.filter(F.slice("tokens", F.col("at") + 1, F.lit(width)), lambda x: ~_is_slot(x))) >= LITERALS)
         asked = cut(w.select("item_id", "at", "_h"))
         held = docs.select(key.alias("_k"), template(text).alias("_t")).select("_k", F.posexplode(_windows(F.col("_t"), width, stride)).alias("_p", "_g"))
         hit = held.join(_sized(asked, asked.count()), F.col("_g") == F.col("_h")).select("_k", "item_id", (F.col("_p") * stride - F.col("at")).alias("shift"))
         met = hit if met is None else met.unionByName(hit)
+    long = items.where(F.size("tokens") >= WIDTH + STRIDE - 1)
+    asked = cut(_poor_keys(long.select("item_id", F.col("tokens").alias("t"), F.col("raw").alias("r")), F.size("t")).select("item_id", "at", "e", F.col("h").alias("_h")))
+    if n_poor := asked.count():
+        reach = asked.agg(F.max("e")).first()[0] or WIDTH
+        asked = asked.drop("e").withColumnRenamed("at", "_at")
+        held = _poor_keys(docs.select(key.alias("_k"), template(text).alias("t"), raw_tokens(text).alias("r")), F.lit(reach))
+        hit = held.select("_k", F.col("at").alias("_p"), F.col("h").alias("_g")).join(_sized(asked, n_poor), F.col("_g") == F.col("_h"))
+        met = met.unionByName(hit.select("_k", "item_id", (F.col("_p") - F.col("_at")).alias("shift")))
     path = shared_path(spark)
     met.groupBy("_k", "item_id").agg(F.sort_array(F.collect_set("shift")).alias("shifts")).write.parquet(path)
     met = spark.read.parquet(path)  # read from files, its size is known: small ones need no shuffle
@@ -89,17 +149,23 @@ def matches(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
         """Places of the item whose token stands in the document at this shift, with both values."""
         at = lambda a, i: F.get(a, i)
         places = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda j: F.coalesce(at(F.col("t"), j + shift) == at(F.col("tokens"), j), F.lit(False)) & (j + shift >= 0))
-        return F.transform(places, lambda j: F.struct(j.alias("j"), at(F.col("tokens"), j).alias("kind"), at(F.col("raw"), j).alias("a"), at(F.col("r"), j + shift).alias("b")))
-
-    both = both.withColumn("_all", F.array_distinct(F.flatten(F.transform("shifts", aligned))))
-    slots = F.filter("_all", lambda s: s["kind"].isin(NUM, NAME, UNIT))
-    pairs = lambda *f: F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(*[s[x].alias(x) for x in f]))))
-    both = both.withColumn("_slots", slots).select(
-        "_k", "item_id", F.size(F.array_distinct(F.transform("_all", lambda s: s["j"]))).alias("matched"), F.size("tokens").alias("item_tokens"),
-        F.size("_slots").alias("slots"), F.size(F.filter("_slots", lambda s: s["a"] != s["b"])).alias("changed"), (pairs("kind", "a", "b") == pairs("kind", "a")).alias("_fits"),
+        same = lambda j, o: F.slice("t", F.greatest(j + shift - o, F.lit(0)) + 1, F.lit(WIDTH)) == F.slice("tokens", F.greatest(j - o, F.lit(0)) + 1, F.lit(WIDTH))
+        firm = lambda j: F.exists(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda o: (j >= o) & (j + shift >= o) & (j - o + WIDTH <= F.size("tokens")) & same(j, o))
+        return F.transform(places, lambda j: F.struct(j.alias("j"), at(F.col("tokens"), j).alias("kind"), at(F.col("raw"), j).alias("a"), at(F.col("r"), j + shift).alias("b"), firm(j).alias("firm")))
+
+    both = both.select("_k", "item_id", F.size("tokens").alias("item_tokens"), "shifts", F.transform("shifts", aligned).alias("_all"))
+    runs = both.select("_k", "item_id", "item_tokens", F.size("shifts").alias("_n"), "_all", F.inline(_runs(F.col("shifts")))).select("_k", "item_id", "item_tokens", (F.col("_n") == F.col("n")).alias("_full"), F.flatten(F.slice("_all", F.col("i") + 1, F.col("n"))).alias("_places"))
+    runs = runs.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("_firm")).withColumn("_places", F.filter("_places", lambda s: s["firm"] | ~F.col("_firm")))
+    runs = runs.withColumn("_places", F.array_distinct(F.transform("_places", lambda s: F.struct(*[s[x].alias(x) for x in ("j", "kind", "a", "b")]))))
+    runs = runs.withColumn("_slots", F.filter("_places", lambda s: _is_slot(s["kind"])))
+    kinds = lambda *f: F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(*[s[x].alias(x) for x in f]))))
+    runs = runs.select(
+        "_k", "item_id", "item_tokens", F.size(F.array_distinct(F.transform("_places", lambda s: s["j"]))).alias("matched"), F.size("_slots").alias("slots"),
+        F.size(F.filter("_slots", lambda s: s["a"] != s["b"])).alias("changed"), ((kinds("kind", "a", "b") == kinds("kind", "a")) & (F.col("_full") | F.col("_firm"))).alias("_fits"),
     )
-    both = both.withColumn("coverage", F.col("matched") / F.col("item_tokens")).where((F.col("coverage") >= least) & (F.col("_fits") | (F.col("changed") == 0)))
-    return both.select("_k", "item_id", "matched", "item_tokens", "coverage", "slots", "changed").dropDuplicates(["_k", "item_id"])
+    runs = runs.withColumn("coverage", F.col("matched") / F.col("item_tokens")).where((F.col("coverage") >= least) & (F.col("_fits") | (F.col("changed") == 0)))
+    best = runs.groupBy("_k", "item_id").agg(F.max(F.struct("matched", (-F.col("changed")).alias("same"), "item_tokens", "coverage", "slots")).alias("b"))
+    return best.select("_k", "item_id", "b.matched", "b.item_tokens", "b.coverage", "b.slots", (-F.col("b.same")).alias("changed"))
 
 
 def row_hash(docs: DataFrame) -> Column:

@@ -508,3 +508,20 @@ def test_leaks_match_a_plain_search(spark):
         text = " " + " ".join(tok(r.text)) + " "
         want |= {(r.doc_id, i) for i, w in items.items() if f" {' '.join(w)} " in text}
     assert got == want
+
+
+def _told(spark, texts, items, least=0.5):
+    from meltwise.llm.decontam import matches, row_hash
+
+    docs = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in texts.items()], DOCS)
+    found = matches(docs, spark.createDataFrame(list(items.items()), "item_id long, text string"), least)
+    return {(r.doc_id, r.item_id): r.changed for r in docs.select("doc_id", row_hash(docs).alias("_n")).join(found, F.col("_n") == F.col("_k")).collect()}
+
+
+def test_leaks_beside_other_places_of_a_template(spark):
+    item = "the train leaves the station at 60 km per hour and meets the other train after 3 hours of driving"
+    other = item.replace("60", "85").replace("3", "7")
+    third = item.replace("60", "40").replace("3", "9")
+    texts = {1: item + " " + words(30, 1) + " they drive at 85 km per hour and turn", 2: other + " " + words(9, 2) + " " + item, 3: other + " " + third, 4: item.replace("km", "km " + words(12, 3)) + " at 85 km per hour and"}
+    got = _told(spark, texts, {1: item})
+    assert set(got) == {(i, 1) for i in texts} and [got[i, 1] for i in (1, 2, 3)] == [0, 0, 2]
