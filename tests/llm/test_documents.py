@@ -525,3 +525,12 @@ def test_leaks_beside_other_places_of_a_template(spark):
     texts = {1: item + " " + words(30, 1) + " they drive at 85 km per hour and turn", 2: other + " " + words(9, 2) + " " + item, 3: other + " " + third, 4: item.replace("km", "km " + words(12, 3)) + " at 85 km per hour and"}
     got = _told(spark, texts, {1: item})
     assert set(got) == {(i, 1) for i in texts} and [got[i, 1] for i in (1, 2, 3)] == [0, 0, 2]
+
+
+def test_leaks_of_items_dense_in_numbers(spark):
+    items = {1: "Compute 12 + 7 - 3 + 5 + 9 - 4 + 8 + 6", 2: "Sort the numbers 4 9 2 7 1 8 in order", 3: "Next number in 2 4 8 16 32 64 128 256 512"}
+    texts = {10 * i + phase: words(20 + phase, i) + " " + t + " " + words(8, phase) for i, t in items.items() for phase in range(4)}
+    texts |= {100 + phase: words(20 + phase, 7) + " Sort the numbers 14 19 12 17 11 18 in order " + words(8, phase) for phase in range(4)}
+    got = _told(spark, texts, items)
+    assert set(got) == {(10 * i + phase, i) for i in items for phase in range(4)} | {(100 + phase, 2) for phase in range(4)}
+    assert all(got[100 + phase, 2] == 6 for phase in range(4))
