@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltwise.llm import decontam, embeddings, language, licenses, mixing, secrets, sharding, simhash, suffixes, toxicity
+from meltwise.llm import collocations, decontam, divergence, embeddings, language, licenses, mixing, packing, secrets, sharding, simhash, suffixes, toxicity
 from meltwise.llm.common import cut, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,64 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_suffix_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), w AS (SELECT n, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT n) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0)::HUGEINT AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (coalesce(n.n, 0) + 2 * v.v) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN n USING (lang, source)),
+l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (s + 2)) // (sum(s) OVER (PARTITION BY lang) + 2 * v) AS q FROM (SELECT lang, term, sum(c) AS s FROM c GROUP BY lang, term) JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM f JOIN l USING (lang, term) WHERE c > 0 AND p > q
+), r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op11_divergence", DIVERGENCE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (lang, source) group's gaps to the other sources of its language, and the ten terms it overuses most."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_pack")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 1024 tokens, with the packed sequence and place each goes to."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+COLLOCATION_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS x FROM d),
+s AS (SELECT lang, k, unnest([array_to_string(x[i:i + k - 1], ' ') FOR i IN range(1, len(x) - k + 2)]) AS p FROM w, range(1, 5) t(k) WHERE len(x) >= k),
+f AS (SELECT lang, k, p, count(*) AS f FROM s GROUP BY lang, k, p HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(x))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, p, f AS a, string_split(p, ' ') AS x FROM f WHERE k > 1),
+u AS (SELECT lang, k, p, a, x, unnest(range(1, k)) AS cut FROM c),
+z AS (SELECT u.lang, u.p, u.a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * a // (l.f + r.f))::BIGINT AS score
+  FROM u JOIN f l ON l.lang = u.lang AND l.p = array_to_string(x[1:cut], ' ') JOIN f r ON r.lang = u.lang AND r.p = array_to_string(x[cut + 1:], ' ')),
+b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+i AS (SELECT lang, a, m, x, unnest(range(1, k - m + 2)) AS j FROM (SELECT lang, a, k, x, unnest(range(2, k)) AS m FROM c WHERE k > 2)),
+o AS (SELECT lang, array_to_string(x[j:j + m - 1], ' ') AS p, max(a) AS longer FROM i GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.p) AS rank, b.p AS phrase, a, l, r, n, score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN o ON o.lang = b.lang AND o.p = b.p WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", COLLOCATION_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of two to four words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
