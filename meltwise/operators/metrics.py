@@ -6,10 +6,16 @@ sends one partial row per task. ALL rows come from grouping sets, not from extra
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meltwise.operators.ranks import running_count
+
 c = F.col
 
 
@@ -125,35 +131,65 @@ def leave_one_out(entity_sums: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def cluster_bootstrap(entity_sums: DataFrame, keys: list[str], draws: int = 200, blocks: int = 64) -> DataFrame:
-    """Percentile interval of the relative change by resampling entities.
-
-    Each entity gets a Poisson(1) multiplicity per draw from a hash of (entity, draw), so a run
-    repeats exactly whatever the partitioning. Draws are expanded after the per-entity sums and
-    summed map-side, so the shuffle carries draws x groups rows per task, never entities x draws.
+DRAW_BLOCK = 1 << 18  # entities whose sums one task holds
+DRAW_PICKS = 50_000_000  # picks that one task makes
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """32-bit numbers mixed by shifts and fixed odd factors; wraps around, so any engine with 64-bit products repeats it."""
+    h = h ^ (h >> np.uint32(16))
+    h = h * np.uint32(0x85EBCA6B)
+    h = h ^ (h >> np.uint32(13))
+    h = h * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
+def _draw_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for row in pdf.to_dict("records"):
+            n, first, draws = row["n"], row["first"], np.arange(row["from"], row["to"], dtype=np.uint32)
+            new, ref, out = np.asarray(row["new"], float), np.asarray(row["ref"], float), []
+            for d, key in zip(draws.tolist(), mixed(draws + np.uint32(0x5BD1E995)), strict=True):
+                b_new = b_ref = 0.0
+                for i in range(0, n, 1 << 20):
+                    picks = mixed(np.arange(i, min(n, i + (1 << 20)), dtype=np.uint32))
+                    entity = (mixed(picks ^ key).astype(np.uint64) * np.uint64(n) >> np.uint64(32)).astype(np.int64) - first
+                    times = np.bincount(entity[(entity >= 0) & (entity < len(new))], minlength=len(new))
+                    b_new, b_ref = b_new + float(times @ new), b_ref + float(times @ ref)
+                out.append((d, b_new, b_ref))
+            sums = pd.DataFrame(out, columns=["draw", "b_new", "b_ref"])
+            for k in row["keys"]:
+                sums[k] = row["keys"][k]
+            yield sums
+
+
+def cluster_bootstrap(entity_sums: DataFrame, keys: list[str], draws: int = 10_000, block: int | None = None) -> DataFrame:
+    """Percentile interval of the relative change by resampling entities with replacement, as many as the group has in every draw.
+
+    ``entity_sums`` has one row per entity with s_new and s_ref; ``keys`` are strings. Entities are numbered in their order, and pick i of draw d takes the
+    entity whose number a hash of (i, d) gives, so a run repeats exactly whatever the partitioning. Tasks take a block of entities and
+    some draws: the picks that fall into the block are counted, and the draw's sums are products of counts and entity sums, added up
+    over blocks. What is shuffled are the blocks and draws x blocks sums.
     """
-    u = (F.pmod(F.xxhash64("entity", "draw", *keys), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight, tail, cumulative = F.lit(8), 0.36787944117144233, 0.36787944117144233
-    cuts = []
-    for k in range(8):
-        cuts.append((k, cumulative))
-        tail = tail / (k + 1)
-        cumulative += tail
-    for k, edge in reversed(cuts):
-        weight = F.when(u <= edge, k).otherwise(weight)
-    expanded = entity_sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    sums = expanded.withColumn("m", weight).groupBy(*keys, "draw").agg(
-        F.sum(c("m") * c("s_new")).alias("b_new"), F.sum(c("m") * c("s_ref")).alias("b_ref")
-    )
+    block = block or DRAW_BLOCK
+    sizes = entity_sums.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("s_new").alias("t_new"), F.sum("s_ref").alias("t_ref"))
+    slices = max(1, -(-entity_sums.count() // block))
+    numbered = running_count(entity_sums.withColumn("_c", F.lit(1)), keys, "entity", "_c", slices).withColumn("_block", F.floor(c("_before") / block))
+    rows = F.sort_array(F.collect_list(F.struct("_before", "s_new", "s_ref")))
+    blocks = numbered.groupBy(*keys, "_block").agg(rows.alias("_r")).join(sizes.select(*keys, "n"), keys)
+    chunk = F.greatest(F.lit(1), F.floor(F.lit(DRAW_PICKS) / c("n"))).cast("long")
+    work = blocks.select(
+        F.struct(*keys).alias("keys"), "n", (c("_block") * block).alias("first"), F.transform("_r", lambda r: r["s_new"]).alias("new"), F.transform("_r", lambda r: r["s_ref"]).alias("ref"), chunk.alias("_chunk"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"), chunk)).alias("from"))
+    work = work.withColumn("to", F.least(c("from") + c("_chunk"), F.lit(draws))).drop("_chunk").repartition(c("keys"), c("first"), c("from"))
+    schema = ", ".join(["draw long, b_new double, b_ref double", *[f"{k} string" for k in keys]])
+    sums = work.mapInPandas(_draw_sums, schema).groupBy(*keys, "draw").agg(F.sum("b_new").alias("b_new"), F.sum("b_ref").alias("b_ref"))
     change = F.try_divide(100.0 * (c("b_new") - c("b_ref")), c("b_ref"))
     boot = sums.groupBy(*keys).agg(
         F.percentile(change, F.lit(0.025)).alias("lo"), F.percentile(change, F.lit(0.975)).alias("hi"),
         F.avg(F.when(change >= 0, 1.0).otherwise(0.0)).alias("p_ge0"),
     )
-    point = entity_sums.groupBy(*keys).agg(
-        (100.0 * (F.sum("s_new") - F.sum("s_ref")) / F.sum("s_ref")).alias("point"),
-        F.count("*").alias("n_entities"),
-    )
+    point = sizes.select(*keys, c("n").alias("n_entities"), F.try_divide(100.0 * (c("t_new") - c("t_ref")), c("t_ref")).alias("point"))
     return point.join(boot, keys)
 
 

@@ -87,16 +87,3 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, alpha: float, s
     lo = F.greatest(F.lit(1), F.floor(alpha * (c("_n") + 1)))
     at = lambda k: F.max(F.when((c("_before") < k) & (k <= end), c(value)))
     return r.groupBy(*keys).agg(at(lo).alias("q_lo"), at(hi).alias("q_hi"), F.max("_n").alias("n"))
-
-
-def cv_plus(residuals: DataFrame, fold_preds: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """Cross-conformal interval from fold residuals and per-fold predictions of each target row.
-
-    Interval ends are order statistics of (fold prediction plus or minus fold residual). Residual
-    quantiles are taken per fold, so the plan carries folds x rows and never residuals x rows; the
-    ends are the widest of the folds, which contains the pooled interval.
-    """
-    q = order_statistics(residuals, ["property", "fold"], "residual", alpha)
-    x = fold_preds.join(q, ["property", "fold"])
-    return x.groupBy("property", "entity", "temp_c").agg(
-        F.min(c("pred") - c("q_hi")).alias("lower"), F.max(c("pred") + c("q_hi")).alias("upper"), F.avg("pred").alias("centre"))

@@ -16,6 +16,7 @@ def running_count(counts: DataFrame, keys: list[str], value: str, n: str, slices
     slice totals are summed in a tiny window, and the running sum inside a slice is a window
     partitioned by (keys, slice), so a group spreads over ``slices`` tasks.
     """
+    slices = max(2, slices)
     probs = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     edges = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_edges"))
     x = (counts.join(edges, keys) if keys else counts.crossJoin(F.broadcast(edges))).withColumn(

@@ -1,15 +1,11 @@
-"""Lexical, dense and fused retrieval, and fuzzy name matching."""
+"""Lexical, dense and fused retrieval."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from meltwise.operators.common import first_row, top_n
+from meltwise.operators.common import top_n
 from meltwise.operators.neighbours import nearest
 
 c = F.col
@@ -61,25 +57,3 @@ def fuse(lexical: DataFrame, dense: DataFrame, k: int, alpha: float = 0.5, dampi
     x = part(lexical, 1.0 - alpha).unionByName(part(dense, alpha))
     x = x.groupBy("qid", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
     return top_n(x, ["qid"], [F.desc("score"), c("doc_id")], k)
-
-
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-
-def edit_similarity(a: Column, b: Column) -> Column:
-    return 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)).cast("double")
-
-
-def fuzzy_match(targets: DataFrame, names: DataFrame, similarity, least: float = 0.5, boost: float = 0.5) -> DataFrame:
-    """Best candidate per target name among those sharing a word: (target, match, score).
-
-    Both sides are distinct names, so repeated names cost nothing. A substring adds the boost; the
-    best score must reach ``least``. The pick is an aggregate over (score, name).
-    """
-    words = lambda df, n: df.select(n, F.explode(F.array_distinct(F.split(n, r"\s+"))).alias("_w")).where(c("_w") != "")
-    pairs = words(targets, "target").join(words(names, "name"), "_w").select("target", "name").distinct()
-    score = similarity(c("target"), c("name")) + F.when(F.contains("name", c("target")), boost).otherwise(0.0)
-    x = pairs.withColumn("score", F.round(score, 9)).where(c("score") >= least)
-    return first_row(x, ["target"], [F.desc("score"), c("name")]).select("target", c("name").alias("match"), "score")

@@ -426,10 +426,31 @@ FIXTURE_SQL["f_esum"] = """
     WHERE actual <> 0 AND p0 IS NOT NULL AND p1 IS NOT NULL GROUP BY ALL"""
 
 
-@query("cluster_bootstrap")
+def _mix_sql(column: str, source: str) -> str:
+    """The bootstrap's 32-bit mixing of ``column``, step by step."""
+    rest = f"* EXCLUDE ({column})"
+    shift = lambda n, x: f"SELECT {rest}, xor({column}, {column} >> {n}) AS {column} FROM ({x})"
+    times = lambda k, x: f"SELECT {rest}, ({column} * {k}::UBIGINT) & 4294967295::UBIGINT AS {column} FROM ({x})"
+    return shift(16, times(0xC2B2AE35, shift(13, times(0x85EBCA6B, shift(16, source)))))
+
+
+FIXTURE_SQL["f_numbered"] = """
+    SELECT *, (row_number() OVER (PARTITION BY property ORDER BY entity) - 1)::BIGINT AS idx, count(*) OVER (PARTITION BY property) AS n FROM f_esum"""
+FIXTURE_SQL["f_picks"] = _mix_sql("h", "SELECT i, i::UBIGINT AS h FROM range((SELECT max(n) FROM f_numbered)) r(i)")
+FIXTURE_SQL["f_draws"] = _mix_sql("k", "SELECT d, ((d + 1540483477) & 4294967295)::UBIGINT AS k FROM range(10000) r(d)")
+
+
+@query("cluster_bootstrap", f"""
+    WITH s AS (SELECT property, count(*) AS n, sum(s_new) AS tn, sum(s_ref) AS tr FROM f_esum GROUP BY property),
+     b AS (SELECT p.property, d, sum(s_new) AS bn, sum(s_ref) AS br FROM (
+        SELECT property, d, ((x * n::UBIGINT) >> 32)::BIGINT AS idx FROM ({_mix_sql('x', 'SELECT property, n, d, xor(h, k) AS x FROM s, f_draws, f_picks WHERE i < n')})) p
+        JOIN f_numbered e ON e.property = p.property AND e.idx = p.idx GROUP BY p.property, d),
+     r AS (SELECT property, 100 * (bn - br) / br AS ch FROM b)
+    SELECT property, max(n) AS n_entities, round(max(100 * (tn - tr) / tr), 6) + 0 AS point, round(quantile_cont(ch, 0.025), 6) + 0 AS lo, round(quantile_cont(ch, 0.975), 6) + 0 AS hi,
+      round(avg(CASE WHEN ch >= 0 THEN 1.0 ELSE 0.0 END), 6) AS p_ge0 FROM r JOIN s USING (property) GROUP BY property""")
 def cluster_bootstrap(t):
-    """Interval from hash-derived draws, so there is no SQL twin; the point estimate has one below."""
-    b = m.cluster_bootstrap(entity_sums(t), ["property"], draws=200)
+    """10,000 draws of as many entities as a property has, with replacement; the SQL repeats every pick."""
+    b = m.cluster_bootstrap(entity_sums(t), ["property"])
     return b.select("property", "n_entities", *[rnd(c(n)).alias(n) for n in ("point", "lo", "hi", "p_ge0")])
 
 

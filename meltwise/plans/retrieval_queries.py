@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from meltwise.operators import lookup
 from meltwise.operators import retrieval as rt
+from meltwise.operators.checkpoints import cut
 from meltwise.operators.common import rnd
 from meltwise.plans.fixture_sql import FIXTURE_SQL
 from meltwise.plans.registry import query
@@ -76,41 +78,54 @@ def recall_at_k(t):
     return x.agg(F.count("*").alias("queries"), F.count("hit").alias("found"), rnd(F.count("hit") / F.count("*"), 8).alias("recall"))
 
 
-FIXTURE_SQL["f_names"] = "SELECT DISTINCT p_name AS name FROM part"
-FIXTURE_SQL["f_targets"] = "SELECT DISTINCT substr(p_name, 1, 2) || substr(p_name, 4) AS target FROM part UNION SELECT 'zzz unknown'"
+FIXTURE_SQL["f_names"] = "SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT name FROM f_entity"
+FIXTURE_SQL["f_targets"] = """
+    SELECT DISTINCT substr(p_name, 1, 2) || substr(p_name, 4) AS target FROM part UNION SELECT 'zzz unknown' UNION SELECT DISTINCT upper(left(p_name, 1)) || 'x' || substr(p_name, 3) FROM part
+    UNION SELECT DISTINCT ' Alloy' || (o_custkey % 300) FROM orders WHERE o_custkey % 7 = 0 UNION SELECT DISTINCT 'all' || chr(243) || 'y ' || (o_custkey % 300) FROM orders WHERE o_custkey % 7 = 1"""
+KEY = "translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+FIXTURE_SQL["f_keys"] = f"""
+    SELECT k AS b, min(name) AS name FROM (SELECT name, trim({KEY.format("trim(regexp_replace(regexp_replace(trim(replace(lower(name), '*', '')), '\\((forged|cast)\\)', '', 'g'), '\\b(wrought|cast|bar|sheet|plate|forged)\\b', '', 'g'))")}) AS k FROM f_names)
+    WHERE k <> '' GROUP BY k"""
+FIXTURE_SQL["f_scored"] = f"""
+    SELECT target, name, 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE + CASE WHEN contains(b, a) THEN 0.5 ELSE 0 END AS score
+    FROM (SELECT target, {KEY.format('trim(target)')} AS a FROM f_targets) t, f_keys WHERE a <> ''"""
+FIXTURE_SQL["f_matched"] = "SELECT target, name AS match, round(score, 9) AS score, row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, name) AS k FROM f_scored"
 
 
 def names(t):
-    return t.part.select(c("p_name").alias("name")).distinct()
+    """Part names and alloy names; the alloys' hold marks, routes and forms that are no part of the core name."""
+    return t.part.select(c("p_name").alias("name")).unionByName(t.entity.select("name")).distinct()
 
 
 def targets(t):
-    """Names with their third letter missing, plus one that matches nothing."""
+    """Names with a letter missing, names with a letter changed in a word, alloys with another spelling, and one that matches nothing."""
+    part, orders = t.part, t.orders
     typo = F.concat(F.substring("p_name", 1, 2), F.expr("substring(p_name, 4)"))
-    extra = t.part.limit(1).select(F.lit("zzz unknown").alias("target"))
-    return t.part.select(typo.alias("target")).union(extra).distinct()
+    other = F.concat(F.upper(F.substring("p_name", 1, 1)), F.lit("x"), F.expr("substring(p_name, 3)"))
+    number = (c("o_custkey") % 300).cast("string")
+    alloys = lambda rest, text: orders.where(c("o_custkey") % 7 == rest).select(F.concat(F.lit(text), number).alias("target"))
+    extra = part.limit(1).select(F.lit("zzz unknown").alias("target"))
+    all_ = part.select(typo.alias("target")).union(part.select(other.alias("target"))).union(alloys(0, " Alloy")).union(alloys(1, "allóy ")).union(extra)
+    return all_.distinct()
 
 
-@query("fuzzy_match", """
-    WITH w AS (SELECT DISTINCT target, unnest(string_split_regex(target, '\\s+')) AS w FROM f_targets), n AS (SELECT DISTINCT name, unnest(string_split_regex(name, '\\s+')) AS w FROM f_names),
-     p AS (SELECT DISTINCT target, name FROM w JOIN n USING (w) WHERE w <> ''),
-     s AS (SELECT target, name, round(1 - levenshtein(target, name) / greatest(length(target), length(name))::DOUBLE + CASE WHEN contains(name, target) THEN 0.5 ELSE 0 END, 9) AS score FROM p)
-    SELECT target, name AS match, score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, name) AS k FROM s WHERE score >= 0.5) WHERE k = 1""")
+@query("fuzzy_match", "SELECT target, match, score FROM f_matched WHERE k = 1 AND score >= 0.5")
 def fuzzy_match(t):
-    return rt.fuzzy_match(targets(t), names(t), rt.edit_similarity)
+    return lookup.best_match(targets(t), names(t))
 
 
 @query("fuzzy_match_ratio")
 def fuzzy_match_ratio(t):
-    """The same lookup with the sequence-matcher ratio (Arrow batches)."""
-    return rt.fuzzy_match(targets(t), names(t), rt.sequence_ratio)
+    """The same lookup by matched characters; tests compare it with all pairs."""
+    return lookup.best_match(targets(t), names(t), lookup.RATIO)
 
 
-@query("multi_lookup")
+@query("multi_lookup", """
+    SELECT target, match, score, CASE WHEN score >= 0.8 THEN 1 ELSE 2 END AS attempt FROM f_matched WHERE k = 1 AND score >= 0.3""")
 def multi_lookup(t):
     """Many names, a second and looser attempt for the ones not found, one row per name."""
     wanted = targets(t)
-    first = rt.fuzzy_match(wanted, names(t), rt.edit_similarity, least=0.8).withColumn("attempt", F.lit(1))
+    first = cut(lookup.best_match(wanted, names(t), least=0.8).withColumn("attempt", F.lit(1)))
     rest = wanted.join(first.select("target"), "target", "left_anti")
-    second = rt.fuzzy_match(rest, names(t), rt.edit_similarity, least=0.3).withColumn("attempt", F.lit(2))
+    second = lookup.best_match(rest, names(t), least=0.3, levels=(0.5,)).withColumn("attempt", F.lit(2))
     return first.unionByName(second)
