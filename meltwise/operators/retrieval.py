@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meltwise.operators.checkpoints import cut
 from meltwise.operators.common import top_n
 from meltwise.operators.neighbours import nearest
 
@@ -15,8 +21,8 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Top k documents per query: (qid, doc_id, score, rank).
+def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(qid, doc_id, score) of every document that holds a term of the query.
 
     ``docs`` is (doc_id, text), ``queries`` is (qid, text). Whole texts are tokenised; postings are
     aggregated per (document, term) before anything else shuffles, terms no query uses leave the plan
@@ -34,8 +40,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     x = postings.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1.0 + (c("n_docs") - c("df") + 0.5) / (c("df") + 0.5))
     part = idf * c("tf") * (k1 + 1.0) / (c("tf") + k1 * (1.0 - b + b * c("dl") / c("avg_dl")))
-    scored = x.select("term", "doc_id", part.alias("part")).join(terms, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top_n(scored, ["qid"], [F.desc("score"), c("doc_id")], k)
+    return x.select("term", "doc_id", part.alias("part")).join(terms, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Top k documents per query: (qid, doc_id, score, rank)."""
+    return top_n(bm25_scores(docs, queries), ["qid"], [F.desc("score"), c("doc_id")], k)
 
 
 def unit_vector(column: str) -> Column:
@@ -51,9 +61,72 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, skip_self: bool =
     return x.withColumn("cosine", 1.0 - c("distance") * c("distance") / 2.0)
 
 
-def fuse(lexical: DataFrame, dense: DataFrame, k: int, alpha: float = 0.5, damping: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of two ranked lists (qid, doc_id, rank) with weight alpha on the dense one."""
-    part = lambda df, w: df.select("qid", "doc_id", (F.lit(w) / (damping + c("rank"))).alias("s"))
-    x = part(lexical, 1.0 - alpha).unionByName(part(dense, alpha))
-    x = x.groupBy("qid", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
-    return top_n(x, ["qid"], [F.desc("score"), c("doc_id")], k)
+def cosine_scores(queries: DataFrame, items: DataFrame, skip_self: bool = False, batch: int = 512) -> DataFrame:
+    """(qid, doc_id, score) of every item for every stated query; score is less the rounded distance of the unit vectors.
+
+    Queries are broadcast ``batch`` at a time and items stream by, one matrix product for each batch of items, so the rows are made where they are
+    read and can be added up before anything is shuffled.
+    """
+    asked = queries.select("qid", unit_vector("embedding").alias("v")).toLocalIterator(prefetchPartitions=True)
+    rows = items.select(c("rid").alias("doc_id"), unit_vector("embedding").alias("v"))
+    out = None
+    while held := list(islice(asked, batch)):
+        shared = items.sparkSession.sparkContext.broadcast((np.array([r.qid for r in held]), np.array([r.v for r in held], float)))
+
+        def run(batches, shared=shared):
+            qids, vectors = shared.value
+            for pdf in batches:
+                if len(pdf):
+                    score = -np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (vectors @ np.vstack(pdf["v"].to_numpy()).T))).round(9)
+                    ids = pdf["doc_id"].to_numpy()
+                    made = pd.DataFrame({"qid": np.repeat(qids, len(ids)), "doc_id": np.tile(ids, len(qids)), "score": score.ravel()})
+                    yield made[made["qid"] != made["doc_id"]] if skip_self else made
+
+        some = rows.mapInPandas(run, "qid long, doc_id long, score double")
+        out = some if out is None else out.unionByName(some)
+    return out if out is not None else rows.select(c("doc_id").alias("qid"), "doc_id", F.lit(0.0).alias("score")).limit(0)
+
+
+def ranks_of(scored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(qid, doc_id, rank): places of the ``wanted`` (qid, doc_id) in the list of all ``scored`` (qid, doc_id, score), best first, ties by id.
+
+    No list is sorted: every scored row finds its place among the few wanted ones of its query, and the rows at each place are counted.
+    """
+    mine = F.struct((-c("score")).alias("s"), c("doc_id").alias("d"))
+    lists = cut(wanted.join(scored, ["qid", "doc_id"]).groupBy("qid").agg(F.sort_array(F.collect_set(mine)).alias("_w")))
+    placed = scored.join(lists, "qid").select("qid", F.size(F.filter("_w", lambda w: w < mine)).alias("_p"))
+    counts = placed.groupBy("qid", "_p").agg(F.count("*").alias("_n"))
+    each = lists.select("qid", F.posexplode("_w").alias("_p", "_x")).join(counts, ["qid", "_p"], "left")
+    up_to = W.partitionBy("qid").orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
+    return each.select("qid", c("_x.d").alias("doc_id"), F.sum(F.coalesce("_n", F.lit(0))).over(up_to).alias("rank"))
+
+
+def fuse(lexical: DataFrame, dense: DataFrame, k: int, alpha: float = 0.5, damping: int = 60, depth: int | None = None) -> DataFrame:
+    """(qid, doc_id, score, rank): reciprocal-rank fusion of two complete lists (qid, doc_id, score), weight alpha on the dense one.
+
+    A threshold algorithm: the first ``depth`` of both lists are candidates, and their places in both complete lists are counted, so their
+    scores are exact. A document in neither head scores at most what the next place of both gives; where the k-th candidate does not beat
+    that, the heads are doubled, until it does or both lists have ended. The first depth is one that k documents of the
+    weightier list always suffice for.
+    """
+    weights = [(lexical, 1.0 - alpha), (dense, alpha)]
+    if depth is None:
+        depth = max(k, int((damping + k) / max(alpha, 1.0 - alpha)) - damping + 1)
+    done, left = None, cut(lexical.select("qid").union(dense.select("qid")).distinct())
+    lengths = cut(lexical.groupBy("qid").count().unionByName(dense.groupBy("qid").count()).groupBy("qid").agg(F.max("count").alias("longest")))
+    while True:
+        own = [(df.join(left, "qid", "left_semi"), w) for df, w in weights]
+        heads = [top_n(df, ["qid"], [F.desc("score"), c("doc_id")], depth).select("qid", "doc_id") for df, _ in own]
+        some = cut(heads[0].unionByName(heads[1]).distinct())
+        parts = [ranks_of(df, some).select("qid", "doc_id", (F.lit(w) / (damping + c("rank"))).alias("s")) for df, w in own]
+        scored = parts[0].unionByName(parts[1]).groupBy("qid", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
+        best = top_n(scored, ["qid"], [F.desc("score"), c("doc_id")], k)
+        last = best.groupBy("qid").agg(F.min("score").alias("_least"), F.count("*").alias("_n")).join(lengths, "qid")
+        unseen = round(1.0 / (damping + depth + 1), 9)
+        sure = last.where(((c("_n") == k) & (c("_least") > unseen)) | (c("longest") <= depth)).select("qid")
+        best = cut(best.join(sure, "qid", "left_semi"))
+        done = best if done is None else done.unionByName(best)
+        left = cut(left.join(best.select("qid").distinct(), "qid", "left_anti"))
+        if left.isEmpty():
+            return done.select("qid", "doc_id", "score", "rank")
+        depth *= 2

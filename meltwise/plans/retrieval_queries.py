@@ -21,11 +21,11 @@ FIXTURE_SQL["f_bm25"] = r"""
      p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM f_words) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
      d AS (SELECT term, count(*) AS df FROM p GROUP BY term)
     SELECT qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 6) AS score FROM p JOIN d USING (term) JOIN q USING (term), s GROUP BY qid, doc_id"""
-FIXTURE_SQL["f_lex"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f_bm25) WHERE rank <= 20"
+FIXTURE_SQL["f_lex"] = "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f_bm25"
 FIXTURE_SQL["f_cos"] = """
     SELECT a.vec_id AS qid, b.vec_id AS doc_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id"""
 FIXTURE_SQL["f_dense"] = """
-    SELECT * FROM (SELECT qid, doc_id, cosine, row_number() OVER (PARTITION BY qid ORDER BY round(sqrt(greatest(0, 2 - 2 * cosine)), 9), doc_id) AS rank FROM f_cos) WHERE rank <= 20"""
+    SELECT qid, doc_id, cosine, row_number() OVER (PARTITION BY qid ORDER BY round(sqrt(greatest(0, 2 - 2 * cosine)), 9), doc_id) AS rank FROM f_cos"""
 FIXTURE_SQL["f_fused"] = """
     SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (
       SELECT qid, doc_id, round(sum(s), 9) AS score FROM (SELECT qid, doc_id, 0.5 / (60 + rank) AS s FROM f_lex UNION ALL SELECT qid, doc_id, 0.5 / (60 + rank) FROM f_dense WHERE qid IN (SELECT item_id FROM benchmark)) GROUP BY ALL)) WHERE rank <= 5"""
@@ -47,7 +47,7 @@ def benchmark_dense(t, k: int = 20):
     return dense(t, k, q).select("qid", c("rid").alias("doc_id"), "rank")
 
 
-@query("keyword_search", "SELECT qid, doc_id, score, rank FROM f_lex")
+@query("keyword_search", "SELECT qid, doc_id, score, rank FROM f_lex WHERE rank <= 20")
 def keyword_search(t):
     return lexical(t).select("qid", "doc_id", "score", "rank")
 
@@ -59,7 +59,11 @@ def vector_search(t):
 
 
 def hybrid(t, k: int = 5):
-    return rt.fuse(lexical(t).select("qid", "doc_id", "rank"), benchmark_dense(t), k)
+    """Fusion of the complete lists of the benchmark items."""
+    e = t.embeddings
+    asked = e.join(t.benchmark.select(c("item_id").alias("vec_id")), "vec_id", "left_semi").select(c("vec_id").alias("qid"), "embedding")
+    lexical = cut(rt.bm25_scores(t.documents.select("doc_id", "text"), t.benchmark.select(c("item_id").alias("qid"), "text")))
+    return rt.fuse(lexical, rt.cosine_scores(asked, e.select(c("vec_id").alias("rid"), "embedding"), skip_self=True), k)
 
 
 @query("hybrid_search", "SELECT qid, doc_id, score, rank FROM f_fused")
