@@ -7,8 +7,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-BLOCK = 16 << 20  # bytes of text worked on at a time, unless one text alone is longer
+BLOCK = 6 << 20  # bytes of text worked on at a time, unless one text alone is longer
 UPPER = bytes(range(65, 91))
 
 
@@ -25,10 +26,10 @@ def byte_table(apart: bytes, broken: bytes = b"") -> bytes:
 
 
 class Words(NamedTuple):
-    names: pa.Array  # distinct words, in byte order
+    names: pa.Array  # distinct words, in byte order if asked for
     code: np.ndarray  # each word's place among them
     doc: np.ndarray  # each word's text
-    piece: np.ndarray  # rises by one at each line break between words
+    piece: np.ndarray | None  # rises by one at each line break between words
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -46,8 +47,8 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield start, held
 
 
-def words_of(raw: list[bytes], table: bytes) -> Words:
-    """The words of some texts: runs without blanks and line breaks after ``table``."""
+def words_of(raw: list[bytes], table: bytes, in_order: bool = True, breaks: bool = True) -> Words:
+    """The words of some texts: runs without blanks and line breaks after ``table``; ``names`` and ``piece`` as asked for."""
     data = np.frombuffer(b"\n".join(raw).translate(table), np.uint8)
     apart = (data == 32) | (data == 10)
     edge = np.flatnonzero(np.diff(np.concatenate(([True], apart, [True])).astype(np.int8)))
@@ -57,8 +58,11 @@ def words_of(raw: list[bytes], table: bytes) -> Words:
     array = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[~apart])])
     coded = array.dictionary_encode()
     names = coded.dictionary
-    order = pa.compute.sort_indices(names).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    breaks = np.cumsum(data == 10)
-    return Words(names.take(pa.array(order)), rank[coded.indices.to_numpy()] if len(start) else np.zeros(0, np.int64), np.searchsorted(ends, start, "right"), breaks[start] if len(start) else start)
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    if in_order:
+        order = pc.sort_indices(names).to_numpy()
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        names, code = names.take(pa.array(order)), rank[code]
+    doc = np.repeat(np.arange(len(raw)), np.diff(np.searchsorted(start, ends), prepend=0))
+    return Words(names, code, doc, np.cumsum(data == 10, dtype=np.int32)[start] if breaks else None)

@@ -1,7 +1,7 @@
 """Phrase collocations by multikey three-way quicksort of suffix pointers.
 
 Every word of a text begins a suffix of up to LONGEST words that ends with its piece. Suffixes are routed over the cluster by their leading
-words: equal ones are added up where they are read, and a range partitioning on the words cuts a frequent leading word by the words that
+words: equal ones are added up where they are read, and ranges of words cut a frequent leading word by the words that
 follow it, so no leading word is too frequent for a task. Each task sorts pointers to its suffixes by multikey three-way quicksort: one word
 at a time, three ways around a pivot; what equals the pivot goes on to the next word, and its size is the count of the phrase so far. Parts
 that hold fewer than the least count are abandoned, unless they touch the first or last suffix of the task, whose phrases may go on in the
@@ -10,7 +10,9 @@ neighbouring one; those counts are added up afterwards.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,47 +24,95 @@ from meltwise.llm.bytewords import byte_table, slices, words_of
 from meltwise.llm.common import tidy, written
 
 LONGEST = 4
-PART_BYTES = 24 << 20  # bytes of text whose suffixes one task sorts
+PART_BYTES = 6 << 20  # bytes of text whose suffixes one task sorts
+BORDER_ROWS = 20  # sampled suffixes for each border between tasks
+SAMPLE_BYTES = 16 << 20  # bytes of text that are sampled at least
 SALTS = 8  # parts into which look-ups of one phrase are dealt
 TABLE = byte_table(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
-SUFFIXES = "lang string, w string, c long"
-TOP = np.iinfo(np.int64).max
 
 
-def _windows(raw: list[bytes], langs: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """Distinct suffixes of some texts with their number; each word is closed by a tab, which no word holds."""
+class _Block(NamedTuple):
+    """Distinct suffixes of some texts in the order of language and words, with their number."""
+
+    lang: np.ndarray  # place of the language among the block's, in byte order
+    langs: list[bytes]
+    word: np.ndarray  # LONGEST rows: place of each word among ``closed``, 0 after the last
+    closed: pa.Array  # the words, each closed by a tab, which no word holds
+    count: np.ndarray
+
+    def key(self, i: int) -> tuple[bytes, ...]:
+        return (self.langs[self.lang[i]], *[self.closed[int(w)].as_py() for w in self.word[:, i] if w])
+
+
+def _block(raw: list[bytes], lang: np.ndarray, langs: list[bytes]) -> _Block:
     w = words_of(raw, TABLE)
     n = len(w.code)
-    lang, more = langs[w.doc], len(w.names) + 1
-    at = np.zeros((LONGEST, n), np.int64)
+    own, more = lang[w.doc], len(w.names) + 1
+    at = np.zeros((LONGEST, n), np.int32)
     for i in range(min(LONGEST, n)):
-        stays = w.piece[i:] == w.piece[: n - i]
-        at[i, : n - i] = np.where(stays, w.code[i:] + 1, 0)
-    first, last = at[0] * more + at[1], at[2] * more + at[3]
-    order = np.lexsort((last, first, lang))
-    lang, first, last = lang[order], first[order], last[order]
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(lang) != 0) | (np.diff(first) != 0) | (np.diff(last) != 0))) if n else [])
+        at[i, : n - i] = np.where(w.piece[i:] == w.piece[: n - i], w.code[i:] + 1, 0)
+    first, last = at[0] * np.int64(more) + at[1], at[2] * np.int64(more) + at[3]
+    order = np.lexsort((last, first, own))
+    own, first, last = own[order], first[order], last[order]
+    new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (first[1:] != first[:-1]) | (last[1:] != last[:-1])))) if n else np.zeros(0, np.int64)
     closed = pa.concat_arrays([pa.array([b""], pa.large_binary()), pc.binary_join_element_wise(w.names, pa.scalar(b"\t", pa.large_binary()), pa.scalar(b"", pa.large_binary()))])
-    parts = [closed.take(pa.array(at[i][order[new]])) for i in range(LONGEST)]
-    text = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary()))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()).take(pa.array(lang[new])), text.cast(pa.large_string()).cast(pa.string()), pa.array(np.diff(np.append(new, n)), pa.int64())], names=["lang", "w", "c"]
-    )
+    return _Block(own[new], langs, at[:, order[new]], closed, np.diff(np.append(new, n)))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    for batch in batches:
+        coded = batch["lang"].dictionary_encode()
+        names = [x.encode("utf-8", "surrogatepass") for x in coded.dictionary.to_pylist()]
+        order = sorted(range(len(names)), key=names.__getitem__)
+        rank = np.empty(len(names), np.int32)
+        rank[order] = np.arange(len(names))
+        codes = rank[coded.indices.to_numpy()]
+        for start, raw in slices(batch["text"]):
+            yield _block(raw, codes[start : start + len(raw)], [names[i] for i in order])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(docs["lang"], F.lit("und")).alias("lang"), docs["text"])
+
+
+def borders(docs: DataFrame, parts: int, size: int) -> list[tuple[bytes, ...]]:
+    """Suffixes that cut all suffixes into ``parts`` ranges of about equal size, from a hash-drawn sample of texts.
+
+    They decide where a suffix is sorted, never what is counted. BORDER_ROWS suffixes a range are looked at on the driver.
+    """
+    if parts == 1:
+        return []
+    share = max(1, size // max(SAMPLE_BYTES, parts * BORDER_ROWS * 1000))
+    step = max(1, size // share // 8 // (parts * BORDER_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            keys = [block.key(i) for i in range(step // 2, len(block.lang), step)]
+            yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in keys], pa.list_(pa.binary()))], names=["k"])
+
+    some = _texts(docs).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    keys = sorted(tuple(map(bytes, r.k)) for r in some.mapInArrow(run, "k array<binary>").collect())
+    return [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """(lang, w, c): the texts' suffixes, those alike within a block of text added up."""
+def suffixes(docs: DataFrame, cuts: list[tuple[bytes, ...]]) -> DataFrame:
+    """(part, lang, w, c): the texts' suffixes, those alike within a block of text added up, and the range of ``cuts`` they belong to."""
+    shared = docs.sparkSession.sparkContext.broadcast(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            coded = batch["lang"].dictionary_encode()
-            codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-            for start, raw in slices(batch["text"]):
-                found = _windows(raw, codes[start : start + len(raw)], names)
-                for i in range(0, found.num_rows, 100_000):
-                    yield found.slice(i, 100_000)
+        for block in _blocks(batches):
+            n = len(block.lang)
+            at = [bisect_left(range(n), cut, key=block.key) for cut in shared.value]
+            part = np.repeat(np.arange(len(at) + 1), np.diff([0, *at, n])).astype(np.int32)
+            langs = pa.array([x.decode("utf-8", "surrogatepass") for x in block.langs], pa.string())
+            for i in range(0, n, 100_000):
+                own = slice(i, i + 100_000)
+                text = pc.binary_join_element_wise(*[block.closed.take(pa.array(w[own])) for w in block.word], pa.scalar(b"", pa.large_binary()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[own]), langs.take(pa.array(block.lang[own])), text.cast(pa.large_string()).cast(pa.string()), pa.array(block.count[own].astype(np.int64))], names=["part", "lang", "w", "c"]
+                )
 
-    return docs.select(F.coalesce(docs["lang"], F.lit("und")).alias("lang"), docs["text"]).mapInArrow(run, SUFFIXES)
+    return _texts(docs).mapInArrow(run, "part int, lang string, w string, c long")
 
 
 def multikey_quicksort(keys: np.ndarray, weight: np.ndarray, least: int, edges: tuple[int, ...] = ()) -> list[tuple[int, int, int]]:
@@ -128,26 +178,32 @@ def _counts(rows: pa.Table, least: int) -> pa.RecordBatch:
     word = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(lengths), pa.py_buffer(data[data != 9])]).dictionary_encode()
     begins = np.searchsorted(row, np.arange(n))
     keys = np.zeros((n, LONGEST + 1), np.int32)
-    keys[:, 0] = lang.indices.to_numpy() + 1
-    keys[row, np.arange(len(row)) - begins[row] + 1] = word.indices.to_numpy() + 1
-    order = pc.sort_indices(pa.table({"l": lang.cast(pa.string()), "w": text}), sort_keys=[("l", "ascending"), ("w", "ascending")])
-    found = multikey_quicksort(keys, rows["c"].to_numpy(), least, (order[0].as_py(), order[n - 1].as_py()))
+    rank = np.argsort(np.argsort([x.encode("utf-8", "surrogatepass") for x in lang.dictionary.to_pylist()]))
+    keys[:, 0] = rank[lang.indices.to_numpy()] + 1
+    place = np.empty(len(word.dictionary), np.int32)
+    place[pc.sort_indices(word.dictionary).to_numpy()] = np.arange(1, len(place) + 1)
+    keys[row, np.arange(len(row)) - begins[row] + 1] = place[word.indices.to_numpy()]
+    least_row, most_row = np.arange(n), np.arange(n)
+    for d in range(LONGEST + 1):
+        least_row = least_row[keys[least_row, d] == keys[least_row, d].min()]
+        most_row = most_row[keys[most_row, d] == keys[most_row, d].max()]
+    found = multikey_quicksort(keys, rows["c"].to_numpy(), least, (int(least_row[0]), int(most_row[0])))
     # the phrase of a prefix: as many words of its row
     at = np.array([f[0] for f in found], np.int64)
     depth = np.array([f[1] for f in found], np.int64) - 1
     stop = np.where(depth > 0, ends[np.minimum(begins[at] + depth - 1, max(0, len(ends) - 1))] + 1 if len(ends) else 0, offsets[at])
     bytes_ = data.tobytes()
     phrases = [bytes_[a:b].decode("utf-8", "surrogatepass") for a, b in zip(offsets[at].tolist(), stop.tolist(), strict=True)]
-    langs = lang.dictionary.take(pa.array(keys[at, 0] - 1))
+    langs = lang.dictionary.take(lang.indices.take(pa.array(at)))
     return pa.RecordBatch.from_arrays([langs, pa.array(phrases, pa.string()), pa.array(depth, pa.int32()), pa.array([f[2] for f in found], pa.int64())], names=["lang", "p", "d", "f"])
 
 
 def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
     """(lang, p, d, f): phrases of ``d`` words (1 to LONGEST, each closed by a tab) that occur ``least`` times or more, and d = 0: all words."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    routed = suffixes(docs).repartitionByRange(parts, "lang", "w")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    cuts = borders(docs, parts, size)
+    routed = suffixes(docs, cuts).repartitionById(len(cuts) + 1, "part").drop("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]

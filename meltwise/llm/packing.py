@@ -9,7 +9,6 @@ Rows then take their places by their rank among the rows of their length, a dist
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -24,12 +23,15 @@ from meltwise.llm.common import sums_before, written
 
 CAPACITY = 1024
 END = 2
-REMEMBERED = 400_000  # words whose ids a worker keeps
+REMEMBERED = 700_000  # stretches of text whose ids a worker keeps
 BUCKET_ROWS = 100_000  # rows of one length that are ranked in one sort
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_CUT = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\xbf])(?=[\x20\x09-\x0d])")
-_known: dict[str, dict[bytes, np.ndarray]] = {}
-_tokenizers: dict = {}
+TOGETHER = 1000  # stretches that are given to the tokenizer as one text
+_BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
+_IS_BLANK = np.isin(np.arange(256), list(_BLANK))
+_IS_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_IS_MARK = np.isin(np.arange(256), list(b".,;:!?)(-/|\"'"))
+_workers: dict = {}
 
 
 def default_tokenizer() -> str:
@@ -41,55 +43,105 @@ def default_tokenizer() -> str:
 # Tokens
 
 
-def _spans(raw: bytes) -> np.ndarray:
-    """Ends of a text's stretches of blanks followed by other characters; the tokenizer never joins across a stretch's start."""
-    return np.array([m.end() for m in _CUT.finditer(raw)] + [len(raw)], np.int64)
-
-
-def _encode(raws: list[bytes], path: str) -> list[np.ndarray]:
-    """Token ids of stretches, each by the tokenizer; a worker remembers up to REMEMBERED of them."""
-    from tokenizers import Tokenizer
-
-    if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer.from_file(path)
-    known = _known.setdefault(path, {})
-    new = [r for r in raws if r not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = raws
-    fresh = {}
-    for i in range(0, len(new), 50_000):
-        some = new[i : i + 50_000]
-        fresh.update(zip(some, (np.array(e.ids, "<u4") for e in _tokenizers[path].encode_batch_fast([r.decode("utf-8", "replace") for r in some], add_special_tokens=False)), strict=True))
-    out = [fresh[r] if r in fresh else known[r] for r in raws]
-    if len(known) + len(fresh) <= REMEMBERED:
-        known.update(fresh)
-    return out
+class _Stretches:
+    """Ids of stretches of text, each by the tokenizer; a worker keeps those of up to REMEMBERED stretches."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)  # a byte-level token has a character for each byte
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 1
+        self.flat[0] = END
+        self.first, self.size = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
+
+    def _add(self, stretches: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, total = len(self.known) + 1, int(sizes.sum())
+        while n + len(stretches) > len(self.first):
+            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
+        while self.used + total > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + total] = ids
+        self.first[n : n + len(stretches)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(stretches)] = sizes
+        self.known.update(zip(stretches, range(n, n + len(stretches)), strict=True))
+        self.used += total
+
+    def _encode(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        # stretches from a blank to another character stay apart when they stand in a row; the others go one by one
+        joined = [r for r in new if r[0] in _BLANK and r[-1] not in _BLANK]
+        for i in range(0, len(joined), TOGETHER):
+            some = joined[i : i + TOGETHER]
+            ids = np.array(self._encode([b"".join(some)])[0], "<u4")
+            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(r) for r in some])) + 1
+            self._add(some, ids, np.diff(ends, prepend=0))
+        single = [r for r in new if not (r[0] in _BLANK and r[-1] not in _BLANK)]
+        for i in range(0, len(single), TOGETHER):
+            some = single[i : i + TOGETHER]
+            ids = self._encode(some)
+            self._add(some, np.array([x for one in ids for x in one], "<u4"), np.array([len(one) for one in ids], np.int64))
+
+    def places(self, stretches: list[bytes]) -> np.ndarray:
+        """Where the ids of each stretch stand in ``first`` and ``size``; END stands at 0."""
+        if len(self.known) + len(stretches) > REMEMBERED:
+            self._forget()
+        self._learn([r for r in stretches if r not in self.known])
+        return np.fromiter(map(self.known.__getitem__, stretches), np.int64, len(stretches))
+
+
+def _stretch_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Places at which no token of the tokenizer goes on, among them ``begins``.
+
+    The tokenizer takes its tokens from a blank with a run of letters, of digits or of other marks, or from a run of blanks. So a token starts at the
+    first of several blanks, and where a mark follows a letter.
+    """
+    before, blank = data[:-1], _IS_BLANK[data]
+    latin = np.zeros(len(data), bool)  # last bytes of the letters from U+00C0 to U+00FF
+    latin[1:] = (before == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    letter = _IS_LETTER[data] | latin
+    seen = (data < 0x80) & ~blank & (data > 0x20) | latin  # a character that is surely no blank
+    cut = np.zeros(len(data), bool)
+    cut[1:] = blank[1:] & seen[:-1] | _IS_MARK[data[1:]] & letter[:-1]
+    cut[begins[begins < len(data)]] = True
+    return np.flatnonzero(cut)
 
 
 def token_ids(raws: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of some texts, END after each text, and where each text ends among them."""
-    ends = [_spans(r) for r in raws]
-    lengths = np.concatenate([np.diff(e, prepend=0) for e in ends]) if ends else np.zeros(0, np.int64)
-    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-    coded = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(raws))]).dictionary_encode()
-    ids = _encode(coded.dictionary.to_pylist(), path)
-    ids.append(np.array([END], "<u4"))
-    flat, size = np.concatenate(ids), np.array([len(i) for i in ids])
-    first = np.cumsum(size) - size
-    code = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum([len(e) for e in ends]), len(ids) - 1)
-    at = np.cumsum(size[code])
-    take = np.arange(at[-1] if len(at) else 0) + np.repeat(first[code] - (at - size[code]), size[code])
-    closing = np.cumsum([len(e) + 1 for e in ends]) - 1
-    return flat[take], at[closing]
+    if path not in _workers:
+        _workers[path] = _Stretches(path)
+    worker = _workers[path]
+    ends = np.cumsum([len(r) for r in raws])
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    starts = _stretch_starts(data, (ends - [len(r) for r in raws])) if len(data) else np.zeros(0, np.int64)
+    offsets = np.append(starts, len(data)).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    places = np.append(worker.places(coded.dictionary.to_pylist()), 0)
+    closing = np.searchsorted(starts, ends)  # stretches before each text's end
+    code = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), closing, len(places) - 1)
+    place = places[code]
+    size = worker.size[place]
+    at = np.cumsum(size)
+    take = np.arange(at[-1] if len(at) else 0) + np.repeat(worker.first[place] - (at - size), size)
+    return worker.flat[take], at[closing + np.arange(len(raws))]
 
 
 def _small(rows: pa.RecordBatch, names: list[str]) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts of a batch in runs of about BLOCK bytes."""
+    """Ids and texts of a batch in runs of about half of BLOCK bytes."""
     ids, raws, size = [], [], 0
     for doc, text in zip(rows[names[0]], rows[names[1]], strict=True):
         raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-        if raws and size + len(raw) > BLOCK:
+        if raws and size + len(raw) > BLOCK // 2:
             yield ids, raws
             ids, raws, size = [], [], 0
         ids.append(doc.as_py())
