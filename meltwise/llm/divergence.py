@@ -109,7 +109,7 @@ def _document_frequency(facts: DataFrame) -> DataFrame:
             coded = batch["lang"].dictionary_encode()
             langs = coded.indices.to_numpy()
             for start, raw in slices(batch["text"]):
-                w = words_of(raw, TABLE)
+                w = words_of(raw, TABLE, in_order=False, breaks=False)
                 n = len(w.names)
                 once = np.unique(w.doc * max(1, n) + w.code)  # a document counts a term once
                 own, number = np.unique(langs[start + once // max(1, n)].astype(np.int64) * max(1, n) + once % max(1, n), return_counts=True)
@@ -179,34 +179,38 @@ def _recount(facts: DataFrame, held: dict[int, bytes], shards: int) -> DataFrame
         size = 0
         for batch in batches:
             group = pa.table([batch["lang"], batch["source"]], names=["l", "s"])
-            groups = group.group_by(["l", "s"]).aggregate([]).to_pylist()
-            number = {(g["l"], g["s"]): i for i, g in enumerate(groups)}
+            groups = [(g["l"], g["s"]) for g in group.group_by(["l", "s"]).aggregate([]).to_pylist()]
+            number = {g: i for i, g in enumerate(groups)}
             mine = np.array([number[k] for k in zip(group["l"].to_pylist(), group["s"].to_pylist(), strict=True)])
             for start, raw in slices(batch["text"]):
-                w = words_of(raw, TABLE)
+                w = words_of(raw, TABLE, in_order=False, breaks=False)
                 if not len(w.code):
                     continue
                 n = len(w.names)
                 own, counts = np.unique(mine[start + w.doc] * n + w.code, return_counts=True)
-                names = w.names.to_pylist()
-                for g in np.unique(own // n).tolist():
-                    lang, source = groups[g]["l"], groups[g]["s"]
-                    mask = own // n == g
-                    keys = [_key(lang, names[i]) for i in (own[mask] % n).tolist()]
-                    hashed, number_ = key_hashes(keys), counts[mask]
+                group, code = own // n, own % n
+                for lang in sorted({x for x, _ in (groups[g] for g in np.unique(group).tolist())}):
+                    # a language's terms of the block are looked up once
+                    rows = np.flatnonzero(np.array([x == lang for x, _ in groups])[group])
+                    asked = np.unique(code[rows])
+                    keys = [_key(lang, t) for t in w.names.take(pa.array(asked)).to_pylist()]
+                    hashed = key_hashes(keys)
                     shard = (hashed[:, 0] % np.uint64(shards)).astype(np.int64)
-                    for s in np.unique(shard).tolist():
-                        if s not in hashes:
-                            continue
+                    slot = np.full(len(keys), -1, np.int64)
+                    for s, perfect in hashes.items():
                         at = np.flatnonzero(shard == s)
-                        slot = hashes[s].slots([keys[i] for i in at.tolist()], hashed[at])
-                        member = slot >= 0
-                        if not member.any():
-                            continue
-                        if (lang, source, s) not in dense:
-                            dense[lang, source, s] = np.zeros(len(hashes[s].keys), np.int64)
-                            size += len(hashes[s].keys)
-                        dense[lang, source, s][slot[member]] += number_[at[member]]
+                        slot[at] = perfect.slots([keys[i] for i in at.tolist()], hashed[at])
+                    at = np.searchsorted(asked, code[rows])
+                    rows, at = rows[slot[at] >= 0], at[slot[at] >= 0]
+                    part = group[rows] * shards + shard[at]
+                    order = np.argsort(part, kind="stable")
+                    for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                        if len(some):
+                            key = (lang, groups[group[rows[some[0]]]][1], int(shard[at[some[0]]]))
+                            if key not in dense:
+                                dense[key] = np.zeros(len(hashes[key[2]].keys), np.int64)
+                                size += len(hashes[key[2]].keys)
+                            dense[key][slot[at[some]]] += counts[rows[some]]
                     if size > HELD:
                         yield from out()
                         size = 0
