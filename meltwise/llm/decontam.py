@@ -1,20 +1,21 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a question with other parameters keeps its template. Windows of WIDTH
-template tokens are hash-joined: benchmark items at every place, documents at every STRIDE-th, which still meets every
-common run of WIDTH + STRIDE - 1 tokens. Where a window is poor in words, its own values and a longer template are joined
-instead, at every place of both. Rows that meet are then aligned with the item, token by token, and the values
-in the slots are compared: the same value must always turn into the same value, or the likeness is a chance of form.
+template tokens are hash-joined, at every place of documents and items. Where a window is poor in words, its own values and a longer
+template are joined instead. Rows that meet are then aligned with the item, token by token, and the values
+in the slots are compared: the same value must always turn into the same value, or the likeness is a chance of form. The alignment is
+a join of single tokens and its figures are hash aggregates, so a document of any length costs in proportion to its meetings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meltwise.llm.common import cut, shared_path, text_column
 
-WIDTH, STRIDE = 5, 4
+WIDTH = 5
+SHORT = 8  # tokens below which an item is looked for whole
 LITERALS = 3  # words that a window holds at least beside its placeholders
 BROADCAST_ROWS = 500_000
 GAPS = (0, *[2**i for i in range(16)], None)  # distances of shifts that make one run; None: any
@@ -45,9 +46,13 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_RAW), F.lit(0))
 
 
-def _windows(tokens: Column, width: int, stride: int) -> Column:
-    hashed = F.transform(F.sequence(F.lit(0), F.size(tokens) - width, F.lit(stride)), lambda i: F.xxhash64(F.slice(tokens, i + 1, width)))
-    return F.when(F.size(tokens) >= width, hashed).otherwise(F.array().cast("array<bigint>"))
+def _window_keys(tokens: Column, widths: list[int]) -> Column:
+    """(at, h) of every window of the given widths, at every place."""
+    at = lambda n: F.transform(
+        F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(n), F.slice(tokens, i + 1, n)).alias("h"))
+    )
+    none = F.array().cast("array<struct<at:int,h:bigint>>")
+    return F.concat(*[F.when(F.size(tokens) >= n, at(n)).otherwise(none) for n in widths])
 
 
 def _bound(value: Column, use) -> Column:
@@ -85,17 +90,21 @@ def _poor_keys(rows: DataFrame, most: Column) -> DataFrame:
     return places.select(*names, "at", "e", F.explode(F.array(F.xxhash64(F.lit("values"), F.transform("v", F.lower)), longer)).alias("h")).where("h is not null")
 
 
-def _runs(shifts: Column) -> Column:
-    """(i, n): runs of neighbouring shifts, for every distance that may lie between neighbours."""
-    k = F.size(shifts)
+def _runs(shifts: DataFrame) -> DataFrame:
+    """``shifts`` (_k, _i, shift, n) with (lo, hi) of every run of neighbouring shifts that holds them, for every distance between neighbours."""
+    ahead = Window.partitionBy("_k", "_i").orderBy("shift")
+    back, on = ahead.rowsBetween(Window.unboundedPreceding, 0), ahead.rowsBetween(0, Window.unboundedFollowing)
+    near = shifts.withColumn("_d", F.col("shift") - F.lag("shift").over(ahead)).withColumn("_e", F.lead("shift").over(ahead) - F.col("shift"))
 
-    def runs(gap: int | None) -> Column:
-        if gap is None:
-            return F.array(F.struct(F.lit(0).alias("i"), k.alias("n")))
-        starts = F.filter(F.sequence(F.lit(0), k - 1), lambda i: (i == 0) | (F.get(shifts, i) - F.get(shifts, i - 1) > gap))
-        return _bound(starts, lambda s: F.transform(s, lambda i, x: F.struct(i.alias("i"), (F.coalesce(F.get(s, x + 1), k) - i).alias("n"))))
+    def run(gap: int | None) -> Column:
+        first = F.col("_d").isNull() | (F.lit(False) if gap is None else F.col("_d") > gap)
+        last = F.col("_e").isNull() | (F.lit(False) if gap is None else F.col("_e") > gap)
+        return F.struct(F.last(F.when(first, F.col("shift")), True).over(back).alias("lo"), F.first(F.when(last, F.col("shift")), True).over(on).alias("hi"), F.lit(gap is None).alias("_any"))
 
-    return F.array_distinct(F.flatten(F.array(*[runs(g) for g in GAPS])))
+    every = near.select("_k", "_i", "shift", "n", F.array(*[run(g) for g in GAPS]).alias("_r"), F.struct(F.min("shift").over(Window.partitionBy("_k", "_i")).alias("lo"), F.max("shift").over(Window.partitionBy("_k", "_i")).alias("hi")).alias("_w"))
+    runs = F.array_distinct(F.transform("_r", lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"))))
+    out = every.select("_k", "_i", "shift", "n", "_w", F.explode(runs).alias("_x"))
+    return out.select("_k", "_i", "shift", "n", "_x.lo", "_x.hi", (F.col("_x") == F.col("_w")).alias("_full"))
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -111,70 +120,87 @@ def matches(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
     only tokens inside common windows count, as single tokens meet by chance at any shift. Of several such runs the one with most tokens, then with fewest
     other values, is told. ``changed`` counts slots with another value: 0 for a plain copy.
 
-    Items shorter than a window and stride, or with fewer than LITERALS words in all, are looked for whole at every place. Null and
+    Items of fewer than SHORT tokens, or with fewer than LITERALS words in all, are looked for whole at every place. Null and
     empty texts match nothing; a null item id is a value like others. Repeated rows of either side are one match. Empty tables: no rows.
     """
     spark = docs.sparkSession
-    items = cut(items.select("item_id", template(F.coalesce(items["text"], F.lit(""))).alias("tokens"), raw_tokens(F.coalesce(items["text"], F.lit(""))).alias("raw")).where(F.size("tokens") > 0).distinct())
-    n_items = items.count()
-    whole = (F.size("tokens") < WIDTH + STRIDE - 1) | (F.size(F.filter("tokens", lambda x: ~_is_slot(x))) < LITERALS)
+    text = F.coalesce(items["text"], F.lit(""))
+    items = cut(items.select("item_id", template(text).alias("tokens"), raw_tokens(text).alias("raw")).where(F.size("tokens") > 0).distinct())
+    items = items.withColumn("_i", _name(F.col("item_id"), F.to_json("raw")))
+    whole = (F.size("tokens") < SHORT) | (F.size(F.filter("tokens", lambda x: ~_is_slot(x))) < LITERALS)
     lengths = sorted(r[0] for r in items.where(whole).select(F.size("tokens")).distinct().collect())
-    plans = [(WIDTH, STRIDE, items.where(F.size("tokens") >= WIDTH + STRIDE - 1))] + [(n, 1, items.where(whole & (F.size("tokens") == n))) for n in lengths]
     key, text = row_hash(docs), F.coalesce(text_column(docs), F.lit(""))
-    met = None
-    for width, stride, some in plans:
-        w = some.select("item_id", "tokens", F.posexplode(_windows(F.col("tokens"), width, 1)).alias("at", "_h"))
-        if stride > 1:  # a window of placeholders alone says nothing: such places have keys of their own
-            w = w.where(F.size(F.filter(F.slice("tokens", F.col("at") + 1, F.lit(width)), lambda x: ~_is_slot(x))) >= LITERALS)
-        asked = cut(w.select("item_id", "at", "_h"))
-        held = docs.select(key.alias("_k"), template(text).alias("_t")).select("_k", F.posexplode(_windows(F.col("_t"), width, stride)).alias("_p", "_g"))
-        hit = held.join(_sized(asked, asked.count()), F.col("_g") == F.col("_h")).select("_k", "item_id", (F.col("_p") * stride - F.col("at")).alias("shift"))
-        met = hit if met is None else met.unionByName(hit)
-    long = items.where(F.size("tokens") >= WIDTH + STRIDE - 1)
-    asked = cut(_poor_keys(long.select("item_id", F.col("tokens").alias("t"), F.col("raw").alias("r")), F.size("t")).select("item_id", "at", "e", F.col("h").alias("_h")))
+
+    # windows that meet; a window of placeholders alone says nothing: such places have keys of their own
+    long = items.where(F.size("tokens") >= SHORT)
+    rich = long.select("_i", "tokens", F.inline(_window_keys(F.col("tokens"), [WIDTH]))).where(F.size(F.filter(F.slice("tokens", F.col("at") + 1, F.lit(WIDTH)), lambda x: ~_is_slot(x))) >= LITERALS)
+    entire = items.where(whole).select("_i", F.lit(0).alias("at"), F.xxhash64(F.size("tokens"), F.col("tokens")).alias("h"))
+    asked = cut(rich.select("_i", "at", "h").unionByName(entire).select("_i", F.col("at").alias("_at"), F.col("h").alias("_h")))
+    held = docs.select(key.alias("_k"), template(text).alias("t")).select("_k", F.inline(_window_keys(F.col("t"), sorted({WIDTH, *lengths}))))
+    met = held.join(_sized(asked, asked.count()), F.col("h") == F.col("_h")).select("_k", "_i", (F.col("at") - F.col("_at")).alias("shift"))
+    asked = cut(_poor_keys(long.select("_i", F.col("tokens").alias("t"), F.col("raw").alias("r")), F.size("t")).select("_i", "at", "e", F.col("h").alias("_h")))
     if n_poor := asked.count():
         reach = asked.agg(F.max("e")).first()[0] or WIDTH
         asked = asked.drop("e").withColumnRenamed("at", "_at")
         held = _poor_keys(docs.select(key.alias("_k"), template(text).alias("t"), raw_tokens(text).alias("r")), F.lit(reach))
         hit = held.select("_k", F.col("at").alias("_p"), F.col("h").alias("_g")).join(_sized(asked, n_poor), F.col("_g") == F.col("_h"))
-        met = met.unionByName(hit.select("_k", "item_id", (F.col("_p") - F.col("_at")).alias("shift")))
-    path = shared_path(spark)
-    met.groupBy("_k", "item_id").agg(F.sort_array(F.collect_set("shift")).alias("shifts")).write.parquet(path)
-    met = spark.read.parquet(path)  # read from files, its size is known: small ones need no shuffle
-    told = docs.select(key.alias("_dk"), text.alias("_text")).join(met, F.col("_dk") == F.col("_k")).select("_k", "item_id", "shifts", "_text").dropDuplicates(["_k", "item_id"])
-    told = told.select("_k", "item_id", "shifts", template(F.col("_text")).alias("t"), raw_tokens(F.col("_text")).alias("r"))
-    both = told.join(_sized(items.select(F.col("item_id").alias("_item"), "tokens", "raw"), n_items), F.col("item_id").eqNullSafe(F.col("_item")))
-
-    def aligned(shift: Column) -> Column:
-        """Places of the item whose token stands in the document at this shift, with both values."""
-        at = lambda a, i: F.get(a, i)
-        places = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda j: F.coalesce(at(F.col("t"), j + shift) == at(F.col("tokens"), j), F.lit(False)) & (j + shift >= 0))
-        same = lambda j, o: F.slice("t", F.greatest(j + shift - o, F.lit(0)) + 1, F.lit(WIDTH)) == F.slice("tokens", F.greatest(j - o, F.lit(0)) + 1, F.lit(WIDTH))
-        firm = lambda j: F.exists(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda o: (j >= o) & (j + shift >= o) & (j - o + WIDTH <= F.size("tokens")) & same(j, o))
-        return F.transform(places, lambda j: F.struct(j.alias("j"), at(F.col("tokens"), j).alias("kind"), at(F.col("raw"), j).alias("a"), at(F.col("r"), j + shift).alias("b"), firm(j).alias("firm")))
-
-    both = both.select("_k", "item_id", F.size("tokens").alias("item_tokens"), "shifts", F.transform("shifts", aligned).alias("_all"))
-    runs = both.select("_k", "item_id", "item_tokens", F.size("shifts").alias("_n"), "_all", F.inline(_runs(F.col("shifts")))).select("_k", "item_id", "item_tokens", (F.col("_n") == F.col("n")).alias("_full"), F.flatten(F.slice("_all", F.col("i") + 1, F.col("n"))).alias("_places"))
-    runs = runs.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("_firm")).withColumn("_places", F.filter("_places", lambda s: s["firm"] | ~F.col("_firm")))
-    runs = runs.withColumn("_places", F.array_distinct(F.transform("_places", lambda s: F.struct(*[s[x].alias(x) for x in ("j", "kind", "a", "b")]))))
-    runs = runs.withColumn("_slots", F.filter("_places", lambda s: _is_slot(s["kind"])))
-    kinds = lambda *f: F.size(F.array_distinct(F.transform("_slots", lambda s: F.struct(*[s[x].alias(x) for x in f]))))
-    runs = runs.select(
-        "_k", "item_id", "item_tokens", F.size(F.array_distinct(F.transform("_places", lambda s: s["j"]))).alias("matched"), F.size("_slots").alias("slots"),
-        F.size(F.filter("_slots", lambda s: s["a"] != s["b"])).alias("changed"), ((kinds("kind", "a", "b") == kinds("kind", "a")) & (F.col("_full") | F.col("_firm"))).alias("_fits"),
-    )
-    runs = runs.withColumn("coverage", F.col("matched") / F.col("item_tokens")).where((F.col("coverage") >= least) & (F.col("_fits") | (F.col("changed") == 0)))
-    best = runs.groupBy("_k", "item_id").agg(F.max(F.struct("matched", (-F.col("changed")).alias("same"), "item_tokens", "coverage", "slots")).alias("b"))
+        met = met.unionByName(hit.select("_k", "_i", (F.col("_p") - F.col("_at")).alias("shift")))
+    met = _filed(met.distinct())
+
+    # places of an item whose token stands in the document at a shift: narrow rows, however long the document is
+    named = docs.select(key.alias("_dk"), text.alias("_text")).join(met.select(F.col("_k").alias("_mk")).distinct(), F.col("_dk") == F.col("_mk"), "left_semi").dropDuplicates(["_dk"])
+    both = lambda t, r: F.posexplode(F.arrays_zip(t.alias("t"), r.alias("r")))
+    told = named.select("_dk", both(template(F.col("_text")), raw_tokens(F.col("_text"))).alias("_p", "_x")).select("_dk", "_p", F.col("_x.t").alias("_t"), F.col("_x.r").alias("b"))
+    parts = items.select(F.col("_i").alias("_pi"), F.size("tokens").alias("item_tokens"), both(F.col("tokens"), F.col("raw")).alias("j", "_x")).select("_pi", "item_tokens", "j", F.col("_x.t").alias("kind"), F.col("_x.r").alias("a"))
+    wanted = met.join(parts, F.col("_i") == F.col("_pi"))
+    places = wanted.join(told, (F.col("_k") == F.col("_dk")) & (F.col("j") + F.col("shift") == F.col("_p")) & (F.col("kind") == F.col("_t")))
+    island = F.col("j") - F.row_number().over(Window.partitionBy("_k", "_i", "shift").orderBy("j"))
+    places = places.select("_k", "_i", "item_tokens", "shift", "j", "kind", "a", "b", island.alias("_l"))
+    firm = F.count("*").over(Window.partitionBy("_k", "_i", "shift", "_l")) >= WIDTH
+    places = _filed(places.withColumn("firm", firm).drop("_l"))
+
+    # every run that has enough places, all of them and those inside common windows alone
+    runs = _runs(places.groupBy("_k", "_i", "shift").agg(F.count("*").alias("n")))
+    enough = F.sum("n").over(Window.partitionBy("_k", "_i", "lo", "hi"))
+    runs = runs.withColumn("_n", enough).select(F.col("_k").alias("_rk"), F.col("_i").alias("_ri"), F.col("shift").alias("_rs"), "lo", "hi", "_full", "_n")
+    same = (F.col("_k") == F.col("_rk")) & (F.col("_i") == F.col("_ri")) & (F.col("shift") == F.col("_rs")) & (F.col("_n") >= least * F.col("item_tokens"))
+    run = ["_k", "_i", "item_tokens", "lo", "hi", "_full"]
+    values = places.join(runs, same).groupBy(*run, "j", "kind", "a", "b").agg(F.max("firm").alias("firm"))
+    values = values.select("*", F.explode(F.when(F.col("firm"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("_firm"))
+    slot = _is_slot(F.col("kind"))
+    # by value of the item first: does it become two values?
+    values = values.groupBy(*run, "_firm", "j", slot.alias("_slot"), F.when(slot, F.struct("kind", "a")).alias("_a")).agg(
+        F.count("*").alias("slots"), F.count_if(F.col("a") != F.col("b")).alias("changed"), F.min("b").alias("_b0"), F.max("b").alias("_b1"))
+    values = values.groupBy(*run, "_firm", "_slot", "_a").agg(F.count("*").alias("matched"), F.sum("slots").alias("slots"), F.sum("changed").alias("changed"), F.min("_b0").alias("_b0"), F.max("_b1").alias("_b1"))
+    told = values.groupBy(*run, "_firm").agg(
+        F.sum("matched").cast("int").alias("matched"), F.coalesce(F.sum(F.when(F.col("_slot"), F.col("slots"))), F.lit(0)).cast("int").alias("slots"),
+        F.coalesce(F.sum(F.when(F.col("_slot"), F.col("changed"))), F.lit(0)).cast("int").alias("changed"), F.max(F.col("_slot") & (F.col("_b0") != F.col("_b1"))).alias("_two"))
+    fits = ~F.col("_two") & (F.col("_full") | F.col("_firm"))
+    told = told.withColumn("coverage", F.col("matched") / F.col("item_tokens")).where((F.col("coverage") >= least) & (fits | (F.col("changed") == 0)))
+    best = told.groupBy("_k", "_i").agg(F.max(F.struct("matched", (-F.col("changed")).alias("same"), "item_tokens", "coverage", "slots")).alias("b"))
+    best = best.join(items.select(F.col("_i").alias("_pi"), "item_id"), F.col("_i") == F.col("_pi"))
+    best = best.groupBy("_k", "item_id").agg(F.max("b").alias("b"))
     return best.select("_k", "item_id", "b.matched", "b.item_tokens", "b.coverage", "b.slots", (-F.col("b.same")).alias("changed"))
 
 
+def _filed(df: DataFrame) -> DataFrame:
+    """The rows from a table in the shared folder: read from files, its size is known, and small ones need no shuffle."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _name(*columns: Column) -> Column:
+    """A name of 128 bits."""
+    return F.concat(F.hex(F.xxhash64(*columns)), F.lit("-"), F.hex(F.xxhash64(F.lit("other"), *columns)))
+
+
 def row_hash(docs: DataFrame) -> Column:
     """Names a row by its id and text; equal rows have one name and one fate."""
-    return F.xxhash64(docs["doc_id"], F.coalesce(text_column(docs), F.lit("")))
+    return _name(docs["doc_id"], F.coalesce(text_column(docs), F.lit("")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without the rows that give an item away; columns and repeated rows stay as they are."""
-    spark, path = docs.sparkSession, shared_path(docs.sparkSession)
-    matches(docs, items, least).select(F.col("_k").alias("_bad")).distinct().write.parquet(path)
-    return docs.join(spark.read.parquet(path), row_hash(docs) == F.col("_bad"), "left_anti")
+    bad = _filed(matches(docs, items, least).select(F.col("_k").alias("_bad")).distinct())
+    return docs.join(bad, row_hash(docs) == F.col("_bad"), "left_anti")
