@@ -93,17 +93,17 @@ def _poor_keys(rows: DataFrame, most: Column) -> DataFrame:
 def _runs(shifts: DataFrame) -> DataFrame:
     """``shifts`` (_k, _i, shift, n) with (lo, hi) of every run of neighbouring shifts that holds them, for every distance between neighbours."""
     ahead = Window.partitionBy("_k", "_i").orderBy("shift")
-    back, on = ahead.rowsBetween(Window.unboundedPreceding, 0), ahead.rowsBetween(0, Window.unboundedFollowing)
+    back = ahead.rowsBetween(Window.unboundedPreceding, 0)
+    on = Window.partitionBy("_k", "_i").orderBy(F.desc("shift")).rowsBetween(Window.unboundedPreceding, 0)
     near = shifts.withColumn("_d", F.col("shift") - F.lag("shift").over(ahead)).withColumn("_e", F.lead("shift").over(ahead) - F.col("shift"))
 
     def run(gap: int | None) -> Column:
         first = F.col("_d").isNull() | (F.lit(False) if gap is None else F.col("_d") > gap)
         last = F.col("_e").isNull() | (F.lit(False) if gap is None else F.col("_e") > gap)
-        return F.struct(F.last(F.when(first, F.col("shift")), True).over(back).alias("lo"), F.first(F.when(last, F.col("shift")), True).over(on).alias("hi"), F.lit(gap is None).alias("_any"))
+        return F.struct(F.last(F.when(first, F.col("shift")), True).over(back).alias("lo"), F.last(F.when(last, F.col("shift")), True).over(on).alias("hi"))
 
-    every = near.select("_k", "_i", "shift", "n", F.array(*[run(g) for g in GAPS]).alias("_r"), F.struct(F.min("shift").over(Window.partitionBy("_k", "_i")).alias("lo"), F.max("shift").over(Window.partitionBy("_k", "_i")).alias("hi")).alias("_w"))
-    runs = F.array_distinct(F.transform("_r", lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"))))
-    out = every.select("_k", "_i", "shift", "n", "_w", F.explode(runs).alias("_x"))
+    every = near.select("_k", "_i", "shift", "n", F.array(*[run(g) for g in GAPS]).alias("_r"))  # the last gap takes all shifts
+    out = every.select("_k", "_i", "shift", "n", F.element_at("_r", -1).alias("_w"), F.explode(F.array_distinct("_r")).alias("_x"))
     return out.select("_k", "_i", "shift", "n", "_x.lo", "_x.hi", (F.col("_x") == F.col("_w")).alias("_full"))
 
 
