@@ -93,4 +93,15 @@ def written(df: DataFrame) -> DataFrame:
     """The rows from a table in the shared folder: a lineage cut whose size the planner knows."""
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables of ``written`` that nothing reads any more, once their successors are written."""
+    for df in tables:
+        if path := getattr(df, "_written_at", None):
+            jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(session.sessionState().newHadoopConf()).delete(place, True)

@@ -7,14 +7,14 @@ variant are within 2 of each other. At most 65 fingerprints can meet at one, wha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meltwise.llm.common import cut, pack, tidy, unpack, written
+from meltwise.llm.common import cut, discard, pack, tidy, unpack, written
 from meltwise.llm.components import components
 
 BITS = 64
@@ -34,11 +34,14 @@ def fingerprint_text(text: str | None, words: int) -> int:
     starts, ends = starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist()
     votes = np.zeros(BITS, np.int64)
     for i in range(0, n, SLAB):
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[i : i + SLAB], ends[i : i + SLAB], strict=True)], "<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        votes += _votes(np.array([digest(joined[a:b], 42) for a, b in zip(starts[i : i + SLAB], ends[i : i + SLAB], strict=True)], "<u8"))
     return int(np.packbits(votes * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
 def fingerprint(text: Column, words: int = 3) -> Column:
     """64-bit SimHash of the whole text's ``words``-word shingles, as a signed long; 0 for null and for no words.
 
@@ -79,7 +82,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(found, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-# Documents alike at word level: an exact join of shingle sets
+# Documents alike at word level: fingerprints propose, an exact join of shingle sets decides and completes
 
 SAMPLE = 8  # every so many sets are counted to order shingles by how common they are
 FEW = 4  # pairs left for each held shingle at which rounds end
@@ -109,6 +112,24 @@ def shingles(text: Column, words: int) -> Column:
     return F.pandas_udf(run, "array<long>")(text)
 
 
+def summary(text: Column, words: int) -> Column:
+    """(u, n, fp) of a text's set of shingles: its name, its size, and its SimHash, in which every distinct shingle votes once."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for s in batches:
+            rows = []
+            for t in s:
+                h = shingle_set(t, words)
+                votes = sum((_votes(h[i : i + SLAB].view(np.uint64)) for i in range(0, len(h), SLAB)), np.zeros(BITS, np.int64))
+                rows.append((xxhash.xxh3_64_intdigest(h.tobytes()), len(h), np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0]))
+            u, n, fp = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pd.DataFrame({"u": np.array(u, np.uint64).view(np.int64), "n": np.array(n, np.int32), "fp": np.array(fp, np.uint64).view(np.int64)})
+
+    return F.pandas_udf(run, "struct<u:long,n:int,fp:long>")(text)
+
+
 def _least_common(sets: DataFrame, similarity: float) -> Column:
     """The least common shingles of a set ``h``, so many that sets of that similarity share one of them.
 
@@ -135,17 +156,19 @@ def _least_common(sets: DataFrame, similarity: float) -> Column:
     return F.pandas_udf(run, "array<long>")(F.col("h"))
 
 
-def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
+def similar_sets(sets: DataFrame, similarity: float, proposed: DataFrame | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a, b) of different sets (``u`` name, ``h`` distinct longs; repeated rows are one) that connect all that pairs of this Jaccard similarity connect.
 
-    Two such sets share one of their least common shingles. All who hold such a shingle are compared with one of them, hash-drawn
+    Pairs of ``proposed`` (a, b) come first, so that the join need not bring them together again. For the rest: two such sets share one of their
+    least common shingles. All who hold such a shingle are compared with one of them, hash-drawn
     anew each round, while many pairs are left and this brings sets together; then all pairs of a shingle that no link has connected
-    yet are compared, however many. Every link is verified.
+    yet are compared, however many. Every link is verified. ``fetch`` gives the sets (u, h) of names (u), if it can do so with less work than
+    reading ``sets``; tables of a step go when the next has been written.
     """
-    n = F.size("h")
-    held = sets.select("u", n.alias("n"), F.posexplode(_least_common(sets, similarity)).alias("i", "s"))
+    held = sets.select("u", F.size("h").alias("n"), F.posexplode(_least_common(sets, similarity)).alias("i", "s"))
     several = written(held.groupBy("s").agg(F.min("u").alias("x"), F.max("u").alias("y")).where("x <> y").select(F.col("s").alias("_s")))
     held = written(held.join(several, F.col("s") == F.col("_s")).select("s", "u", "n", "i").distinct())
+    discard(several)
 
     def able(a: str, b: str) -> Column:
         """Whether lengths and places of a shared shingle leave room for the similarity."""
@@ -153,53 +176,84 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
         rest = F.least(na - F.col(f"{a}.i"), nb - F.col(f"{b}.i")) + F.least(F.col(f"{a}.i"), F.col(f"{b}.i"))
         return (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9) & (rest * (1 + similarity) >= similarity * (na + nb) - 1e-9)
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, edges: DataFrame | None) -> DataFrame:
+        """``edges`` with those of ``pairs`` that are alike enough."""
         pairs = written(pairs.distinct())
-        named = written(pairs.select(F.col("a").alias("_n")).unionByName(pairs.select(F.col("b").alias("_n"))).distinct())
-        some = written(sets.join(named, F.col("u") == F.col("_n"), "left_semi").dropDuplicates(["u"]).select("u", "h"))
+        named = written(pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct())
+        some = sets.join(named.withColumnRenamed("u", "_n"), F.col("u") == F.col("_n"), "left_semi").select("u", "h") if fetch is None else fetch(named)
+        some = written(some.dropDuplicates(["u"]))
         one, two = some.select(F.col("u").alias("_a"), F.col("h").alias("ha")), some.select(F.col("u").alias("_b"), F.col("h").alias("hb"))
         both = F.size(F.array_intersect("ha", "hb"))
         joined = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
-        return joined.where(both * (1 + similarity) >= similarity * (F.size("ha") + F.size("hb")) - 1e-9).select("a", "b")
+        more = joined.where(both * (1 + similarity) >= similarity * (F.size("ha") + F.size("hb")) - 1e-9).select("a", "b")
+        out = written(more if edges is None else edges.unionByName(more))
+        discard(pairs, named, some, edges)
+        return out
 
-    edges, known, turn, size = None, -1, 0, held.count()
+    edges, known, turn, size = verified(proposed, None) if proposed is not None else None, -1, 0, held.count()
+    labels = mixed = None
     while True:
         now, found = held.withColumn("g", F.col("u")), 0
         if edges is not None:
-            labels = written(components(edges)).select(F.col("v").alias("_v"), "label")
+            discard(labels)
+            labels = written(components(edges)).withColumnRenamed("v", "_v")
             now, found = held.join(labels, F.col("u") == F.col("_v"), "left").withColumn("g", F.coalesce("label", "u")).drop("_v", "label"), edges.count()
         drawn = F.struct(F.xxhash64(F.lit(turn), F.col("u")).alias("o"), "u", "g", "n", "i")
         mixed = now.groupBy("s", "g").agg(F.count("*").alias("m"), F.min(drawn).alias("hub")).groupBy("s").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"), F.min("hub").alias("hub"))
         mixed = written(mixed.where("m * m > q").select(F.col("s").alias("_s"), "m", "q", "hub"))
-        now = written(now.join(mixed, F.col("s") == F.col("_s")).select("s", "m", "hub", F.struct("u", "g", "n", "i").alias("own")))
+        now = now.join(mixed, F.col("s") == F.col("_s")).select("s", "m", "hub", F.struct("u", "g", "n", "i").alias("own"))
         left = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
         if found == known or left <= FEW * size:
             break
         pairs = now.where((F.col("hub.g") != F.col("own.g")) & able("hub", "own")).select(F.least("hub.u", "own.u").alias("a"), F.greatest("hub.u", "own.u").alias("b"))
-        more = verified(pairs)
-        edges, known, turn = written(more if edges is None else edges.unionByName(more)), found, turn + 1
+        edges, known, turn = verified(pairs, edges), found, turn + 1
+        discard(mixed)
     # what no link has connected: parts of a shingle's holders, each part with each
     parts = now.select("s", F.col("own"), F.ceil(F.col("m") / CHUNK).cast("int").alias("c")).withColumn("mine", F.pmod(F.xxhash64("own.u"), F.col("c")).cast("int"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     one = parts.select(F.col("s").alias("s1"), F.col("mine").alias("x1"), F.col("other").alias("y1"), F.col("own").alias("one"))
     two = parts.select(F.col("s").alias("s2"), F.col("other").alias("x2"), F.col("mine").alias("y2"), F.col("own").alias("two"))
     meet = (F.col("s1") == F.col("s2")) & (F.col("x1") == F.col("x2")) & (F.col("y1") == F.col("y2")) & (F.col("one.u") < F.col("two.u")) & (F.col("one.g") != F.col("two.g")) & able("one", "two")
-    more = verified(one.join(two, meet).select(F.col("one.u").alias("a"), F.col("two.u").alias("b")))
-    return written(more if edges is None else edges.unionByName(more))
+    edges = verified(one.join(two, meet).select(F.col("one.u").alias("a"), F.col("two.u").alias("b")), edges)
+    discard(held, labels, mixed)
+    return edges
+
+
+def _proposals(rows: DataFrame) -> DataFrame:
+    """(a, b) of sets (u, fp) whose fingerprints are equal or within 2 bits, by ball hashing: each to one set of its fingerprint, and those linked."""
+    first = written(rows.groupBy("fp").agg(F.min("u").alias("r")))
+    same = rows.join(first.withColumnRenamed("fp", "_f"), F.col("fp") == F.col("_f")).where("u <> r").select(F.col("u").alias("a"), F.col("r").alias("b"))
+    ends = lambda n: first.select(F.col("fp").alias(f"_{n}"), F.col("r").alias(f"r{n}"))
+    near = links(first.select("fp")).join(ends("a"), F.col("a") == F.col("_a")).join(ends("b"), F.col("b") == F.col("_b")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    both = same.unionByName(near)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest id, null ids last.
 
     Near-duplicates are texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, and all that
-    such links connect; no pair is missed. Texts without words (null, too) are one group. Among repeated rows of one id and text one
+    such links connect. SimHash balls (radius 2, as ``near_duplicates``) propose pairs, which the similarity verifies; a pair alike by 0.8 differs in ten bits
+    of 64 on average, so the exact join finds the others and no pair is missed. Shingles are worked out anew from the texts where they are needed,
+    so that no table holds them all. Texts without words (null, too) are one group. Among repeated rows of one id and text one
     stays. Empty table: no rows.
     """
     key = lambda df: F.xxhash64(F.coalesce(df["text"], F.lit("")))
     with tidy(docs.sparkSession):
-        sets = written(docs.select(key(docs).alias("k"), "doc_id", shingles(docs["text"], words).alias("h")).withColumn("u", F.xxhash64("h")))
-        labels = written(components(similar_sets(sets.select("u", "h"), similarity)))
-    named = sets.select("k", "doc_id", "u").join(labels.withColumnRenamed("v", "_v"), F.col("u") == F.col("_v"), "left").withColumn("_root", F.coalesce("label", "u"))
+        rows = written(docs.select(key(docs).alias("k"), "doc_id", summary(docs["text"], words).alias("x")).select("k", "doc_id", "x.u", "x.n", "x.fp"))
+        # one row speaks for a set; copies are not read again
+        one = written(rows.groupBy("u").agg(F.min(F.struct("k", "doc_id")).alias("o"), F.first("fp").alias("fp"), F.first("n").alias("n")).select("u", "fp", "n", "o.k", "o.doc_id"))
+        texts = docs.select(key(docs).alias("_key"), docs["doc_id"].alias("_own"), docs["text"].alias("_text"))
+
+        def fetch(names: DataFrame) -> DataFrame:
+            some = one.join(names.select(F.col("u").alias("_u")), F.col("u") == F.col("_u")).select("u", "k", "doc_id")
+            met = texts.join(some, (F.col("_key") == F.col("k")) & F.col("_own").eqNullSafe(F.col("doc_id")))
+            return met.select("u", shingles(F.col("_text"), words).alias("h"))
+
+        edges = similar_sets(fetch(one.where("n > 0").select("u")), similarity, _proposals(one.where("n > 0").select("u", "fp")), fetch)
+        labels = written(components(edges))
+        discard(edges, one)
+    named = rows.select("k", "doc_id", "u").join(labels.withColumnRenamed("v", "_v"), F.col("u") == F.col("_v"), "left").withColumn("_root", F.coalesce("label", "u"))
     stays = named.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("k").alias("k"))).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.k").alias("_k"))
     kept = pack(docs, _key=key(docs), _own=docs["doc_id"], _order=F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]))
     kept = kept.join(stays, (F.col("_key") == F.col("_k")) & F.col("_own").eqNullSafe(F.col("_id")), "left_semi")
