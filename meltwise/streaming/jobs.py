@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from meltwise.sources.records import shared_folder
+from meltwise.operators.checkpoints import cut
 
 c = F.col
 
@@ -47,14 +48,17 @@ def latest_state(jobs: DataFrame, now: Column | None = None) -> DataFrame:
                        F.when(done, c("ts")).when(stale, c("_now")).alias("finished"))
 
 
-STATE = "kind string, status string, ts timestamp, events long"
+STATE = "kind string, status string, ts timestamp, events long, started timestamp"
 OUTPUT = "key long, kind string, status string, events long, reason string"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-    """Keep the newest status of a key; on event-time timeout finished keys expire and open ones fail."""
+    """Keep the newest status of a key; on event-time timeout finished keys expire and open ones fail.
+
+    As in ``latest_state`` a finished job ages from its end and an open one from its start.
+    """
     if state.hasTimedOut:
-        kind, status, _, events = state.get
+        kind, status, _, events, _ = state.get
         state.remove()
         reason = "expired" if status in TERMINAL else "reaped"
         yield pd.DataFrame({"key": [key[0]], "kind": [kind], "status": [status if reason == "expired" else "failed"],
@@ -63,17 +67,19 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     current = state.get if state.exists else None
     for pdf in batches:
         rows = pdf.sort_values(["ts", "event_id"])
-        row = rows.iloc[-1]
+        row, first = rows.iloc[-1], rows.iloc[0]["ts"].to_pydatetime()
         n = (current[3] if current else 0) + len(rows)
+        started = min(first, pd.Timestamp(current[4]).to_pydatetime()) if current else first
         if current is None or row["ts"].to_pydatetime() >= pd.Timestamp(current[2]).to_pydatetime():
-            current = (row["kind"], row["status"], row["ts"].to_pydatetime(), n)
+            current = (row["kind"], row["status"], row["ts"].to_pydatetime(), n, started)
         else:
-            current = (current[0], current[1], current[2], n)
+            current = (current[0], current[1], current[2], n, started)
     if current is None:
         return
     state.update(current)
-    hold = FINISHED_TTL if current[1] in TERMINAL else CEILING.get(current[0], DEFAULT_CEILING)
-    wake = int(pd.Timestamp(current[2]).timestamp() * 1000) + hold * 1000
+    done = current[1] in TERMINAL
+    hold = FINISHED_TTL if done else CEILING.get(current[0], DEFAULT_CEILING)
+    wake = int(pd.Timestamp(current[2] if done else current[4]).timestamp() * 1000) + hold * 1000
     state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"key": [key[0]], "kind": [current[0]], "status": [current[1]], "events": [current[3]], "reason": ["update"]})
 
@@ -99,34 +105,78 @@ def window_counts(violations: DataFrame, width: str = "1 day") -> DataFrame:
         c("w.start").alias("window_start"), "check", "n")
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append") -> str:
-    """Run a stream over what is available, writing to a new shared folder; returns the folder."""
-    spark = df.sparkSession
-    path, marks = shared_folder(spark, name), shared_folder(spark, f"{name}-marks")
-    q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).start(path)
-    q.awaitTermination()
-    return path
+def stream_arrivals(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The files that arrive in a folder as a stream, with an event-time column."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(folder).withColumn("event_time", c("ts").cast("timestamp"))
+
+
+def _run(stream: DataFrame, sink: Callable[[DataFrame, int], None], marks: str) -> None:
+    """All that has arrived since the last run whose checkpoint ``marks`` names."""
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+
+
+def _put(df: DataFrame, path: str, *parts: str) -> None:
+    """Writes a batch's rows so that the same batch, run again, takes the place of its first attempt."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
-def validate_stream(events: DataFrame, lateness: str = "1 day") -> tuple[str, str]:
-    """Violations to one table, per-window counts to another, in one pass per micro-batch.
+def _earlier(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+    """What batches before this one have written; nothing before the first has."""
+    found = spark.createDataFrame([], schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        found = spark.read.schema(schema).parquet(path)
+    return found.where(c("batch") < batch_id)
 
-    The counts are merged on read by summing the batch partials, so a window that spans batches is
-    complete and a replayed batch overwrites its own partials.
+
+def validate_stream(events: DataFrame, folder: str, lateness: str = "1 day") -> None:
+    """Checks what has arrived; a later run with the same ``folder`` resumes where this one ended.
+
+    Violations go to ``violations``, their counts by day to ``counts``, rows older than the newest event of earlier batches less
+    ``lateness`` to ``late``, uncounted. The newest event of each batch is kept in ``seen``, so the watermark outlives the run. All tables are written by batch:
+    a batch that runs again overwrites its own rows, and sums over batches are complete.
     """
-    spark = events.sparkSession
-    rows, counts, marks = (shared_folder(spark, n) for n in ("violations", "counts", "validate-marks"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        found = event_violations(batch).withColumn("batch", F.lit(batch_id))
-        for df, path in ((found, rows), (window_counts(found).withColumn("batch", F.lit(batch_id)), counts)):
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        spark = batch.sparkSession
+        batch = cut(batch)  # read several times below
+        newest = _earlier(spark, f"{folder}/seen", "newest timestamp, batch int", batch_id).agg((F.max("newest") - F.expr(f"interval {lateness}")).alias("mark")).first()["mark"]
+        late = F.lit(False) if newest is None else c("event_time") < F.lit(newest)
+        tag = F.lit(batch_id).alias("batch")
+        _put(batch.agg(F.max("event_time").alias("newest"), tag), f"{folder}/seen", "batch")
+        _put(batch.where(late).groupBy(F.date_trunc("day", "event_time").alias("window_start")).agg(F.count("*").alias("n")).select("*", tag), f"{folder}/late", "batch")
+        found = event_violations(batch.where(~late))
+        _put(found.select("*", tag), f"{folder}/violations", "batch")
+        _put(window_counts(found).select("*", tag), f"{folder}/counts", "batch")
+
+    _run(events, sink, f"{folder}/marks")
+
+
+def validated(spark: SparkSession, folder: str, schema: StructType) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(violations, counts, late) of all runs in a folder; ``schema`` is that of the events."""
+    types = {f.name: f.dataType.simpleString() for f in schema.fields}
+    day = "timestamp" if types["ts"] == "timestamp" else types["ts"]
+    table = lambda name, columns: spark.read.schema(f"{columns}, batch int").parquet(f"{folder}/{name}")
+    return (
+        table("violations", f"event_id {types['event_id']}, ts {types['ts']}, event_type string, check string"),
+        table("counts", f"window_start {day}, check string, n long"), table("late", "window_start timestamp, n long"))
 
-    q = events.withWatermark("event_time", lateness).writeStream.foreachBatch(sink).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return rows, counts
 
+def resume_stream(events: DataFrame, folder: str, key: str = "event_id") -> None:
+    """Takes what has arrived and is not in the output yet; a later run with the same ``folder`` continues.
 
-def resume_stream(events: DataFrame, key: str = "event_id", lateness: str = "1 day") -> DataFrame:
-    """Row-wise work without repeats: duplicates inside the watermark drop, the checkpoint remembers the rest."""
-    return events.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark([key])
+    The checkpoint remembers the files that have been read. Rows that arrive again, in whatever file and however late, are found by their
+    key among the output of the days of the batch, and repeated keys inside a batch count once, so every key is written once.
+    """
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.withColumn("day", F.to_date("event_time"))
+        known = _earlier(spark, f"{folder}/rows", f"{names}, day date, batch int", batch_id)
+        days = F.broadcast(batch.select(c("day").alias("_day")).distinct())  # as many rows as days
+        known = known.join(days, c("day") == c("_day"), "left_semi").select(c(key).alias("_known"), c("day").alias("_on"))
+        new = batch.join(known, (c(key) == c("_known")) & (c("day") == c("_on")), "left_anti").dropDuplicates([key])
+        _put(new.select("*", F.lit(batch_id).alias("batch")), f"{folder}/rows", "day", "batch")
+
+    _run(events, sink, f"{folder}/marks")

@@ -39,12 +39,15 @@ def test_entry_and_registry(spark):
     assert set(oracle_sql()) <= set(queries())
 
 
-def test_stream_and_batch_agree(spark):
+def test_stream_and_batch_agree(spark, tmp_path):
     from __spark_entry__ import queries
+    from meltwise.streaming import jobs
 
-    q = queries()
-    rows = lambda n: sorted(map(tuple, q[n](spark, SF).select("window_start", "check", "n").collect()))
-    assert rows("stream_validate") == rows("batch_validate")
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.write.parquet(str(tmp_path / "in"))
+    jobs.validate_stream(jobs.stream_arrivals(spark, str(tmp_path / "in"), events.schema), str(tmp_path / "out"))
+    rows = lambda df: sorted(map(tuple, df.select("window_start", "check", "n").collect()))
+    assert rows(jobs.validated(spark, str(tmp_path / "out"), events.schema)[1]) == rows(queries()["batch_validate"](spark, SF))
 
 
 def test_state_stream_ends_where_the_batch_does(spark):
