@@ -148,7 +148,8 @@ def matches(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
     met = _filed(met.distinct())
 
     # places of an item whose token stands in the document at a shift: narrow rows, however long the document is
-    named = docs.select(key.alias("_dk"), text.alias("_text")).join(met.select(F.col("_k").alias("_mk")).distinct(), F.col("_dk") == F.col("_mk"), "left_semi").dropDuplicates(["_dk"])
+    hit = _filed(met.select(F.col("_k").alias("_mk")).distinct())
+    named = docs.select(key.alias("_dk"), text.alias("_text")).join(_sized(hit, hit.count()), F.col("_dk") == F.col("_mk"), "left_semi").dropDuplicates(["_dk"])
     both = lambda t, r: F.posexplode(F.arrays_zip(t.alias("t"), r.alias("r")))
     told = named.select("_dk", both(template(F.col("_text")), raw_tokens(F.col("_text"))).alias("_p", "_x")).select("_dk", "_p", F.col("_x.t").alias("_t"), F.col("_x.r").alias("b"))
     parts = items.select(F.col("_i").alias("_pi"), F.size("tokens").alias("item_tokens"), both(F.col("tokens"), F.col("raw")).alias("j", "_x")).select("_pi", "item_tokens", "j", F.col("_x.t").alias("kind"), F.col("_x.r").alias("a"))
