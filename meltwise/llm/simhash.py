@@ -8,6 +8,7 @@ variant are within 2 of each other. At most 65 fingerprints can meet at one, wha
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -86,6 +87,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 SAMPLE = 8  # every so many sets are counted to order shingles by how common they are
 FEW = 4  # pairs left for each held shingle at which rounds end
+SENT = 1 << 23  # shingles that are sent to pairs at a time, or as many as there are least common ones
 CHUNK = 512  # members of a part of a shingle's documents that is compared with another part as a whole
 
 
@@ -184,13 +186,20 @@ def similar_sets(sets: DataFrame, similarity: float, proposed: DataFrame | None
         some = written(some.dropDuplicates(["u"]))
         one, two = some.select(F.col("u").alias("_a"), F.col("h").alias("ha")), some.select(F.col("u").alias("_b"), F.col("h").alias("hb"))
         both = F.size(F.array_intersect("ha", "hb"))
-        joined = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
-        more = joined.where(both * (1 + similarity) >= similarity * (F.size("ha") + F.size("hb")) - 1e-9).select("a", "b")
+        # sets are sent to their pairs, some pairs at a time, so that no more than a share of all shingles is on the way at once
+        sent = pairs.count() * 2 * (some.agg(F.avg(F.size("h"))).first()[0] or 0)
+        turns = max(1, int(-(-sent // max(SENT, size))))
+        parts = []
+        for i in range(turns):
+            joined = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == i).join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+            parts.append(written(joined.where(both * (1 + similarity) >= similarity * (F.size("ha") + F.size("hb")) - 1e-9).select("a", "b")))
+        more = reduce(DataFrame.unionByName, parts)
         out = written(more if edges is None else edges.unionByName(more))
-        discard(pairs, named, some, edges)
+        discard(pairs, named, some, edges, *parts)
         return out
 
-    edges, known, turn, size = verified(proposed, None) if proposed is not None else None, -1, 0, held.count()
+    size = held.count()
+    edges, known, turn = verified(proposed, None) if proposed is not None else None, -1, 0
     labels = mixed = None
     while True:
         now, found = held.withColumn("g", F.col("u")), 0

@@ -366,6 +366,7 @@ def test_near_copies_of_a_large_group_beside_others(spark, monkeypatch):
     from meltwise.llm import simhash
     from meltwise.llm.components import components
 
+    monkeypatch.setattr(simhash, "SENT", 500)
     monkeypatch.setattr(simhash, "FEW", 0)  # rounds first
     r = random.Random(5)
     sets = {u: [*r.sample(range(40), 36), u + 100] for u in range(200)} | {u: [*range(8), *range(1000 * u, 1000 * u + 32)] for u in range(200, 230)}
