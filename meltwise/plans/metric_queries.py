@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from meltwise import constants as K
 from meltwise.functions.buckets import bin_of, temperature_regime
 from meltwise.functions.classify import physics_class
+from meltwise.functions.statistics import t_two_sided
 from meltwise.operators import metrics as m
 from meltwise.operators import ranks
+from meltwise.operators.checkpoints import cut
 from meltwise.operators.common import const_table, first_row, rnd, top_n
 from meltwise.plans.fixture_sql import FIXTURE_SQL
 from meltwise.plans.registry import query
@@ -175,12 +177,14 @@ def campaign_compare(t):
 
 
 @query("welch", """
-    SELECT property, n_a, n_b, round((m_b - m_a) / sqrt(v_a / n_a + v_b / n_b), 4) + 0 AS t,
-      round(pow(v_a / n_a + v_b / n_b, 2) / (pow(v_a / n_a, 2) / (n_a - 1) + pow(v_b / n_b, 2) / (n_b - 1)), 3) AS df
-    FROM (SELECT property, count(*) FILTER (arm = 0) AS n_a, count(*) FILTER (arm = 1) AS n_b,
+    WITH g AS (SELECT property, count(*) FILTER (arm = 0) AS n_a, count(*) FILTER (arm = 1) AS n_b,
       avg(abs(pred - actual)) FILTER (arm = 0) AS m_a, avg(abs(pred - actual)) FILTER (arm = 1) AS m_b,
       var_samp(abs(pred - actual)) FILTER (arm = 0) AS v_a, var_samp(abs(pred - actual)) FILTER (arm = 1) AS v_b
-      FROM f_pred WHERE actual <> 0 GROUP BY property)""")
+      FROM f_pred WHERE actual <> 0 GROUP BY property),
+     w AS (SELECT property, n_a, n_b, (m_b - m_a) / sqrt(v_a / n_a + v_b / n_b) AS t, pow(v_a / n_a + v_b / n_b, 2) / (pow(v_a / n_a, 2) / (n_a - 1) + pow(v_b / n_b, 2) / (n_b - 1)) AS df FROM g),
+     s AS (SELECT property, n_a, n_b, t, df, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma((df + 1) / 2) - lgamma(df / 2) - (df + 1) / 2 * ln(1 + pow(abs(t) * i / 4000, 2) / df)) / sqrt(df * pi())) * abs(t) / 12000 AS half
+      FROM w, range(4001) r(i) GROUP BY property, n_a, n_b, t, df)
+    SELECT property, n_a, n_b, round(t, 4) + 0 AS t, round(df, 3) AS df, round(greatest(0, 1 - 2 * half), 6) + 0 AS p FROM s""")
 def welch(t):
     e = F.abs(c("pred") - c("actual"))
     of = lambda f, a: f(F.when(c("arm") == a, e))
@@ -188,9 +192,11 @@ def welch(t):
         *[of(f, a).alias(f"{n}_{l}") for l, a in (("a", 0), ("b", 1))
           for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
     va, vb = c("v_a") / c("n_a"), c("v_b") / c("n_b")
-    return g.select(
-        "property", "n_a", "n_b", rnd((c("m_b") - c("m_a")) / F.sqrt(va + vb), 4).alias("t"),
-        rnd(F.pow(va + vb, 2) / (va * va / (c("n_a") - 1) + vb * vb / (c("n_b") - 1)), 3).alias("df"))
+    x = g.select(
+        "property", "n_a", "n_b", ((c("m_b") - c("m_a")) / F.sqrt(va + vb)).alias("t"),
+        (F.pow(va + vb, 2) / (va * va / (c("n_a") - 1) + vb * vb / (c("n_b") - 1))).alias("df"))
+    x = cut(x.withColumn("p", t_two_sided(c("t"), c("df"))))
+    return x.select("property", "n_a", "n_b", rnd(c("t"), 4).alias("t"), rnd(c("df"), 3).alias("df"), rnd(c("p")).alias("p"))
 
 
 @query("median_ape", """
@@ -630,7 +636,9 @@ def bucketise(t):
 
 
 @query("wilcoxon", """
-    WITH d AS (SELECT property, abs(p1 - actual) - abs(p0 - actual) AS d FROM f_arms WHERE actual <> 0),
+    WITH d AS (SELECT property, round(abs(b - actual) - abs(a - actual), 9) AS d FROM (
+        SELECT entity, temp_c, property, max(actual) AS actual, avg(pred) FILTER (arm = 0) AS a, avg(pred) FILTER (arm = 1) AS b FROM f_pred GROUP BY ALL) WHERE actual <> 0 AND a IS NOT NULL AND b IS NOT NULL),
+     mid AS (SELECT property, median(d) AS mid FROM d GROUP BY property),
      r AS (SELECT property, d, rank() OVER (PARTITION BY property ORDER BY abs(d))
         + (count(*) OVER (PARTITION BY property, abs(d)) - 1) / 2.0 AS rk FROM d WHERE d <> 0),
      w AS (SELECT property, count(*) AS n, least(sum(rk) FILTER (d > 0), sum(rk) FILTER (d < 0)) AS w,
@@ -638,11 +646,14 @@ def bucketise(t):
      ties AS (SELECT property, sum(k * k * k - k) AS ties FROM (SELECT property, abs(d) AS a, count(*)::DOUBLE AS k FROM r GROUP BY ALL) GROUP BY property),
      z AS (SELECT *, abs((w - n * (n + 1) / 4.0) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0)) / sqrt(2.0) AS x FROM w JOIN ties USING (property)),
      u AS (SELECT *, 1.0 / (1.0 + 0.3275911 * x) AS u FROM z)
-    SELECT property, n AS n_nonzero, round(w, 1) AS w, wins, losses,
-      round(least(1.0, u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * exp(-x * x)), 6) + 0 AS p FROM u""")
+    SELECT property, n AS n_nonzero, round(w, 1) AS w, wins, losses, round(mid, 8) + 0 AS median_delta,
+      round(least(1.0, u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * exp(-x * x)), 6) + 0 AS p FROM u JOIN mid USING (property)""")
 def wilcoxon(t):
-    x = m.paired_errors(seed42(t), KEY, 0, 1).withColumn("d", c("err_b") - c("err_a"))
-    return ranks.signed_rank(x, ["property"], "d").select("property", "n_nonzero", rnd(c("w"), 1).alias("w"), "wins", "losses", rnd(c("p")).alias("p"))
+    """Signed ranks of the error differences of the mean predictions over all seeds, with the median difference."""
+    x = cut(m.paired_errors(t.pred, KEY, 0, 1).select("property", rnd(c("err_b") - c("err_a"), 9).alias("d")))
+    mid = m.exact_quantiles(x, ["property"], "d", [0.5]).select("property", rnd(c("q500"), 8).alias("median_delta"))
+    s = ranks.signed_rank(x, ["property"], "d").join(mid, "property")
+    return s.select("property", "n_nonzero", rnd(c("w"), 1).alias("w"), "wins", "losses", "median_delta", rnd(c("p")).alias("p"))
 
 
 @query("spearman", """

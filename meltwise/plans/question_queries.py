@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meltwise.functions import text
+from meltwise.functions import statistics, text
 from meltwise.operators import ranks
 from meltwise.operators.common import const_table, first_row, rnd, top_n
 from meltwise.plans.fixture_sql import FIXTURE_SQL
@@ -401,9 +401,10 @@ FIXTURE_SQL["f_qavg"] = "SELECT question_id, system, coalesce(avg(score), 0) AS
     WITH r AS (SELECT question_id, system, rank() OVER (PARTITION BY question_id ORDER BY s) + (count(*) OVER (PARTITION BY question_id, s) - 1) / 2.0 AS rk FROM f_qavg),
      k AS (SELECT system, sum(rk) AS t, count(*) AS n FROM r GROUP BY system),
      ties AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT question_id, s, count(*) AS c FROM f_qavg GROUP BY ALL))
-    SELECT max(n) AS n, count(*) AS k, round((12.0 / (max(n) * count(*) * (count(*) + 1)) * sum(t * t) - 3 * max(n) * (count(*) + 1)) / (1 - max(ties) / (max(n) * (power(count(*), 3) - count(*)))), 5) AS chi2 FROM k, ties""")
+    SELECT n, k, round(x, 5) AS chi2, round(exp(-x / 2), 8) AS p FROM (
+      SELECT max(n) AS n, count(*) AS k, (12.0 / (max(n) * count(*) * (count(*) + 1)) * sum(t * t) - 3 * max(n) * (count(*) + 1)) / (1 - max(ties) / (max(n) * (power(count(*), 3) - count(*)))) AS x FROM k, ties)""")
 def friedman(t):
-    """Rank the systems inside each question, then the tie-corrected statistic."""
+    """Rank the systems inside each question, then the tie-corrected statistic and its chi-square tail (three systems: the SQL has the closed form)."""
     x = t.answer.groupBy("question_id", "system").agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("s"))
     w, tie = W.partitionBy("question_id").orderBy("s"), W.partitionBy("question_id", "s")
     r = x.select("system", "question_id", "s", (F.rank().over(w) + (F.count("*").over(tie) - 1) / 2.0).alias("rk"))
@@ -411,7 +412,8 @@ def friedman(t):
     ties = x.groupBy("question_id", "s").agg(F.count("*").alias("m")).agg(F.sum(c("m") * c("m") * c("m") - c("m")).alias("ties"))
     n, m = F.max("n"), F.count("*")
     raw = 12.0 / (n * m * (m + 1)) * F.sum(c("t") * c("t")) - 3 * n * (m + 1)
-    return k.crossJoin(F.broadcast(ties)).agg(n.alias("n"), m.alias("k"), rnd(raw / (1 - F.max("ties") / (n * (m * m * m - m))), 5).alias("chi2"))
+    x = k.crossJoin(F.broadcast(ties)).agg(n.alias("n"), m.alias("k"), (raw / (1 - F.max("ties") / (n * (m * m * m - m)))).alias("x"))
+    return x.select("n", "k", rnd(c("x"), 5).alias("chi2"), rnd(statistics.chi2_tail(c("x"), c("k") - 1.0), 8).alias("p"))
 
 
 @query("pairwise_signed_rank", """
