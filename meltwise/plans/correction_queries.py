@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from meltwise import constants as K
 from meltwise.functions.classify import physics_class
 from meltwise.functions.thermal import strength_factor, compress_ratio
+from meltwise.operators import candidates
 from meltwise.operators import correct as cr
 from meltwise.operators import predict
+from meltwise.operators.checkpoints import cut
 from meltwise.operators.common import const_table, map_total, rnd, top_n
 from meltwise.operators.features import ELEMENTS, POSITION, constant_array, featurize
 from meltwise.plans.feature_queries import conditions, model_columns
@@ -287,19 +289,43 @@ def guard_flags(t):
         ("Fe reduced", p("Fe") > 2)]).alias("fixes"))
 
 
-@query("candidate_generate")
-def candidate_generate(t, seed: int = 42):
-    """One sparsity-matched draw per order: as many additions as the order's composition has, uniform in
-    their bounds from hashes of (seed, order, element); the balance must stay in the Ni bounds."""
-    u = lambda *xs: (F.pmod(F.xxhash64(F.lit(seed), *xs), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    names = [e for e in BOUNDS if e != "Ni"]
-    spec = const_table(t.spark, [(e, *BOUNDS[e]) for e in names], "component string, lo double, hi double")
-    n = t.comp.select("entity", (F.size("composition") - 1).alias("k"))
-    x = n.join(F.broadcast(spec), F.lit(True)).withColumn("u", u(c("entity"), c("component"), F.lit("pick")))
-    x = top_n(x, ["entity"], [c("u")], len(names), "r").where(c("r") <= c("k"))
-    x = x.withColumn("amount", c("lo") + (c("hi") - c("lo")) * u(c("entity"), c("component"), F.lit("amount")))
-    g = x.groupBy("entity").agg(F.count("*").alias("n_additions"), F.sum("amount").alias("s"))
-    return g.where((100.0 - c("s")).between(40.0, 75.0)).select("entity", "n_additions", rnd(100.0 - c("s")).alias("ni"))
+def _draw_sql(kind: str, *columns: str) -> str:
+    return f"(('0x' || left(md5('{kind}:42:' || {" || ':' || ".join(columns)}), 12))::BIGINT / 281474976710656.0::DOUBLE)"
+
+
+FIXTURE_SQL["f_bounds"] = "SELECT * FROM (VALUES " + ", ".join(f"('{e}', {lo}::DOUBLE, {hi}::DOUBLE)" for e, (lo, hi) in BOUNDS.items() if e != "Ni") + ") b(component, lo, hi)"
+FIXTURE_SQL["f_model"] = """
+    SELECT component, amount > 1.0 AS major, count(*) / (SELECT count(DISTINCT entity) FROM f_comp_long)::DOUBLE AS freq, min(amount) AS lo, max(amount) AS hi
+    FROM f_comp_long WHERE component <> 'Ni' AND amount > 0 GROUP BY ALL"""
+FIXTURE_SQL["f_sizes"] = """
+    SELECT k, sum(m) OVER (ORDER BY k) - m AS before, sum(m) OVER (ORDER BY k) AS upto, sum(m) OVER () AS total
+    FROM (SELECT k, count(*) AS m FROM (SELECT entity, count(*) FILTER (component <> 'Ni' AND amount > 1.0) AS k FROM f_comp_long GROUP BY entity) GROUP BY k)"""
+FIXTURE_SQL["f_race"] = f"""
+    SELECT id, component, lo, hi FROM (
+      SELECT id, k, m.*, row_number() OVER (PARTITION BY id ORDER BY -ln(1 - {_draw_sql('race', 'id', 'component')}) / freq, component) AS r
+      FROM (SELECT o_orderkey AS id, k FROM orders, f_sizes WHERE floor({_draw_sql('size', 'o_orderkey')} * total) >= before AND floor({_draw_sql('size', 'o_orderkey')} * total) < upto), f_model m WHERE major) WHERE r <= k"""
+FIXTURE_SQL["f_drawn"] = f"""
+    SELECT 'uniform' AS sampler, o_orderkey AS id, component, lo + (hi - lo) * {_draw_sql('uniform', 'o_orderkey', 'component')} AS amount FROM orders, f_bounds
+    UNION ALL
+    SELECT 'sparse', id, component, greatest(b.lo, least(b.hi, x.lo + (x.hi - x.lo) * {_draw_sql('amount', 'id', 'component')})) FROM (
+      SELECT * FROM f_race UNION ALL
+      SELECT o_orderkey, component, lo, hi FROM orders, f_model WHERE NOT major AND {_draw_sql('residual', 'o_orderkey', 'component')} < freq AND (o_orderkey, component) NOT IN (SELECT (id, component) FROM f_race)) x
+    JOIN f_bounds b USING (component)"""
+
+
+@query("candidate_generate", """
+    WITH s AS (SELECT sampler, id, 100 - sum(amount) AS ni FROM f_drawn GROUP BY ALL HAVING 100 - sum(amount) BETWEEN %s AND %s)
+    SELECT sampler, id AS entity, component, round(amount, 3) + 0 AS amount FROM f_drawn JOIN s USING (sampler, id) WHERE amount > 1e-9
+    UNION ALL SELECT sampler, id, 'Ni', round(ni, 3) FROM s""" % BOUNDS["Ni"])
+def candidate_generate(t):
+    """One uniform and one sparsity-matched composition per order, where the balance stays within its bounds."""
+    bounds = const_table(t.spark, [(e, *map(float, BOUNDS[e])) for e in BOUNDS if e != "Ni"], "component string, lo double, hi double")
+    ids = t.orders.select(c("o_orderkey").alias("id"))
+    comp = cut(t.comp)
+    one = candidates.uniform(ids, bounds, BOUNDS["Ni"])
+    two = candidates.sparse(ids, *candidates.fit(comp), bounds, BOUNDS["Ni"])
+    row = lambda df, name: df.select(F.lit(name).alias("sampler"), c("id").alias("entity"), "component", rnd(c("amount"), 3).alias("amount"))
+    return row(one, "uniform").unionByName(row(two, "sparse"))
 
 
 @query("achievement", """
