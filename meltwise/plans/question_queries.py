@@ -286,12 +286,14 @@ def entity_doc(t):
 
 
 FIXTURE_SQL["f_choice"] = r"""
-    WITH said AS (SELECT *, upper(trim(response)) AS u FROM f_question),
-     spoken AS (SELECT id, list_filter([regexp_extract(u, '\bANSWER(?: IS)?[\s:]*\(?\*{0,2}([A-D])\b', 1), regexp_extract(u, '\A\(?([A-D])(?:[\s.:)-]|\z)', 1),
-       regexp_extract(u, '(?:\*\*|(?m:^)\s*)([A-D])\)', 1), regexp_extract(u, '\b([A-D])\)\s+\*\*', 1)], lambda x : x <> '') AS l FROM said),
+    WITH said AS (SELECT id, replace(upper(trim(response)), '*', '') AS u, regexp_extract_all(upper(trim(response)), '(?:\n[ \t]*|\*\*|\()*[\pL\pN]+\)?(?:[ \t]*\*\*)?') AS t FROM f_question),
+     words AS (SELECT id, i, t[i] AS token, regexp_replace(t[i], '[^\pL\pN]', '', 'g') AS word FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM said)),
+     near AS (SELECT *, word IN ('A', 'B', 'C', 'D') AS letter, coalesce(lag(word) OVER w = 'ANSWER', false) OR coalesce(lag(word, 2) OVER w = 'ANSWER', false) AS stated,
+       regexp_matches(token, '\)(?:[ \t]*\*\*)?$') AND regexp_matches(token, '^\n|^\*\*|\*\*$') AS listed FROM words WINDOW w AS (PARTITION BY id ORDER BY i)),
+     spoken AS (SELECT id, arg_min(word, (CASE WHEN stated THEN 0 WHEN i = 1 THEN 1 ELSE 2 END, i)) AS l FROM near WHERE letter AND (stated OR i = 1 OR listed) GROUP BY id),
      valued AS (SELECT id, arg_min(o, (p, o)) AS o FROM (SELECT id, unnest(['A', 'B', 'C', 'D']) AS o,
-       unnest([instr(replace(u, '*', ''), upper(x)) FOR x IN [option_a, option_b, option_c, option_d]]) AS p FROM said) WHERE p > 0 GROUP BY id)
-    SELECT q.id, subtype, correct, coalesce(l[1], o) AS choice FROM f_question q JOIN spoken USING (id) LEFT JOIN valued USING (id)"""
+       unnest([instr(u, upper(x)) FOR x IN [option_a, option_b, option_c, option_d]]) AS p FROM said JOIN f_question USING (id)) WHERE p > 0 GROUP BY id)
+    SELECT q.id, subtype, correct, coalesce(l, o) AS choice FROM f_question q LEFT JOIN spoken USING (id) LEFT JOIN valued USING (id)"""
 
 
 def choices(t):
