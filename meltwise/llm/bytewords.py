@@ -32,13 +32,13 @@ class Words(NamedTuple):
     piece: np.ndarray | None  # rises by one at each line break between words
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about BLOCK bytes, with the place of the first; null texts are empty."""
+def slices(texts: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about ``block`` bytes, with the place of the first; null texts are empty."""
     start, size, held = 0, 0, []
     for i, v in enumerate(texts):
         raw = v.as_py()
         raw = b"" if raw is None else raw.encode("utf-8", "surrogatepass") if isinstance(raw, str) else raw
-        if held and size + len(raw) > BLOCK:
+        if held and size + len(raw) > block:
             yield start, held
             start, size, held = i, 0, []
         held.append(raw)

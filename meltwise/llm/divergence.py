@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from meltwise.llm.bytewords import byte_table, slices, words_of
 from meltwise.llm.common import written
 
-SHARD_TERMS = 1 << 16
+TEXT_BYTES = 8 << 20  # bytes of text worked on at a time
+SHARD_TERMS = 1 << 16  # keys of one hash
 ROUND_BYTES = 96 << 20  # hashes that are broadcast at a time
 HELD = 4 << 20  # dense slots that a task holds before it hands their counts on
 CELLS = 1 << 21  # terms x sources of a block whose pairs are compared at a time
@@ -108,7 +109,7 @@ def _document_frequency(facts: DataFrame) -> DataFrame:
         for batch in batches:
             coded = batch["lang"].dictionary_encode()
             langs = coded.indices.to_numpy()
-            for start, raw in slices(batch["text"]):
+            for start, raw in slices(batch["text"], TEXT_BYTES):
                 w = words_of(raw, TABLE, in_order=False, breaks=False)
                 n = len(w.names)
                 once = np.unique(w.doc * max(1, n) + w.code)  # a document counts a term once
@@ -182,7 +183,7 @@ def _recount(facts: DataFrame, held: dict[int, bytes], shards: int) -> DataFrame
             groups = [(g["l"], g["s"]) for g in group.group_by(["l", "s"]).aggregate([]).to_pylist()]
             number = {g: i for i, g in enumerate(groups)}
             mine = np.array([number[k] for k in zip(group["l"].to_pylist(), group["s"].to_pylist(), strict=True)])
-            for start, raw in slices(batch["text"]):
+            for start, raw in slices(batch["text"], TEXT_BYTES):
                 w = words_of(raw, TABLE, in_order=False, breaks=False)
                 if not len(w.code):
                     continue

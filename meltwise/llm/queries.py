@@ -31,6 +31,7 @@ def fold(column: str, n: int):
 
 @query("op3_kd_shards")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of near-equal bytes and its place there; law ``bytes``."""
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -60,12 +61,14 @@ FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
 
 @query("op9_mix", MIX_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes, by its source's target."""
     docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
     return mixing.mix(docs, size=F.col("size")).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
 @query("op1_language_id")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by trees learned from the documents that are not held out; ``und`` without a letter."""
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     trees = language.train(docs.where(~held).select("text", "lang"))
@@ -75,12 +78,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_licenses")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, tags and expressions of every document."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", licenses.scan(docs["text"]).alias("_l")).select("doc_id", "_l.*")
 
 
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id that fingerprints within 2 bits reach."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -92,6 +97,7 @@ def toxicity_field(docs: DataFrame, spark: SparkSession, sf_dir: str):
 
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score by a field learned from labels that are not held out, with its spans."""
     docs = table(spark, sf_dir, "documents")
     scored = docs.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), toxicity.score(docs, toxicity_field(docs, spark, sf_dir), docs["text"]).alias("_s"))
     return scored.select("doc_id", "held_out", F.col("_s.score").alias("score"), (F.col("_s.score") >= 0.3).cast("int").alias("predicted"), F.col("_s.spans").alias("spans"))
@@ -113,6 +119,7 @@ SELECT vec_id, coalesce(k, 0) AS n_links, m AS component_id, vec_id = m AS kept
 
 @query("op10_embeddings", EMBEDDING_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links of cosine 0.93 or more within its label, and its component."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
@@ -139,6 +146,7 @@ FROM documents d LEFT JOIN z USING (doc_id) GROUP BY d.doc_id
 
 @query("op4_secrets", secrets_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts of the base kinds, their digest, and all spans."""
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "found")
     n = lambda rank: F.size(F.filter("found", lambda s: s["rank"] == rank)).cast("long")
     text = lambda spans: F.array_join(F.transform(spans, lambda s: s["span"]), ",")
@@ -150,6 +158,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_decontaminate")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they give away, plain or with other parameters; one row per document and item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = cut(decontam.matches(docs, table(spark, sf_dir, "benchmark")))
     named = docs.select("doc_id", decontam.row_hash(docs).alias("_n")).join(found, F.col("_n") == F.col("_k"))
@@ -158,6 +167,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline`` over the documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -165,6 +175,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_suffix_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without bytes of repeated 200-byte strings."""
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
