@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meltwise.llm.common import cut, discard, pack, tidy, unpack, written
+from meltwise.llm.common import cut, discard, pack, small_batches, tidy, unpack, written
 from meltwise.llm.components import components
 
 BITS = 64
@@ -88,6 +88,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 SAMPLE = 8  # every so many sets are counted to order shingles by how common they are
 FEW = 4  # pairs left for each held shingle at which rounds end
 SENT = 1 << 23  # shingles that are sent to pairs at a time, or as many as there are least common ones
+ROWS = 500  # texts or sets that a Python worker takes at a time
 CHUNK = 512  # members of a part of a shingle's documents that is compared with another part as a whole
 
 
@@ -248,7 +249,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     stays. Empty table: no rows.
     """
     key = lambda df: F.xxhash64(F.coalesce(df["text"], F.lit("")))
-    with tidy(docs.sparkSession):
+    with tidy(docs.sparkSession), small_batches(docs.sparkSession, ROWS):
         rows = written(docs.select(key(docs).alias("k"), "doc_id", summary(docs["text"], words).alias("x")).select("k", "doc_id", "x.u", "x.n", "x.fp"))
         # one row speaks for a set; copies are not read again
         one = written(rows.groupBy("u").agg(F.min(F.struct("k", "doc_id")).alias("o"), F.first("fp").alias("fp"), F.first("n").alias("n")).select("u", "fp", "n", "o.k", "o.doc_id"))
