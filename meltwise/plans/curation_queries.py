@@ -359,10 +359,10 @@ def blind_assign(t):
      b AS (SELECT entity, property, temp_c, row_number() OVER (PARTITION BY entity, property ORDER BY value) AS k FROM f_measurement)
     SELECT entity, property, bool_and(a.temp_c = b.temp_c) AS same_order FROM a JOIN b USING (entity, property, k) GROUP BY ALL""")
 def order_check(t):
-    """Two listings of a series have the same members; do they have the same order?"""
-    w = lambda o: W.partitionBy("entity", "property").orderBy(o)
+    """Two listings of a series have the same members; do they have the same order? Equal values are in the order of the first listing."""
+    w = lambda *o: W.partitionBy("entity", "property").orderBy(*o)
     x = t.measurement_set.select("entity", "property", "temp_c", F.row_number().over(w(F.desc("temp_c"))).alias("k"))
-    y = t.measurement_set.select("entity", "property", c("temp_c").alias("t2"), F.row_number().over(w(c("value"))).alias("k"))
+    y = t.measurement_set.select("entity", "property", c("temp_c").alias("t2"), F.row_number().over(w(c("value"), F.desc("temp_c"))).alias("k"))
     return x.join(y, ["entity", "property", "k"]).groupBy("entity", "property").agg(F.bool_and(c("temp_c") == c("t2")).alias("same_order"))
 
 
