@@ -1,5 +1,7 @@
 """Queries on small tables that hold what only larger ones show."""
 
+import re
+
 import duckdb
 
 from tools.verify import compare
@@ -25,3 +27,40 @@ def test_drivers_counts_the_smallest_phase_shares(spark, tmp_path):
     parts = [(8, 48.0), (9, 1.0), (11, 42.0), (12, 32.0)]
     lines = spark.createDataFrame([(1, idx - 1, q) for idx, q in parts], "l_orderkey long, l_partkey long, l_quantity double")
     assert against_sql(spark, tmp_path, "drivers", lineitem=lines) is None
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_spread_once_over_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
+    from __spark_entry__ import queries
+    from meltwise.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "LINES_A_TASK", 100)
+    lines = fixtures.Tables(spark, SF).lines
+    assert lines.rdd.getNumPartitions() == -(-lines.count() // 100)
+    for name in ("entity_mean_error", "bootstrap_point", "contribution", "leave_one_out", "best_per_property", "headline_score", "campaign_compare"):
+        plan = plan_of(queries()[name](spark, SF))
+        assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(entity" not in plan, name
+
+
+def test_stratified_and_common_rows_shuffle_no_predictions(spark):
+    from __spark_entry__ import queries
+
+    plan = plan_of(queries()["stratified"](spark, SF))
+    assert "ShuffledHashJoin" in plan and "hashpartitioning(entity#" in plan and "SortMergeJoin" not in plan
+    assert "hashpartitioning(arm#" in plan and ", entity#" not in "".join(re.findall(r"hashpartitioning\([^)]*\)", plan_of(queries()["common_rows"](spark, SF))))
+
+
+def test_order_check_with_equal_values(spark, tmp_path):
+    """Equal values stand in the order of the first listing, however the rows lie."""
+    from __spark_entry__ import queries
+
+    lines = spark.createDataFrame([(o, s, 4, 100.0) for o in range(30) for s in range(9)], "l_orderkey long, l_suppkey long, l_linenumber int, l_extendedprice double")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = queries()["order_check"](spark, str(tmp_path)).collect()
+    assert len(rows) == 30 and all(r.same_order for r in rows)
