@@ -64,3 +64,16 @@ def test_order_check_with_equal_values(spark, tmp_path):
     lines.write.parquet(str(tmp_path / "lineitem.parquet"))
     rows = queries()["order_check"](spark, str(tmp_path)).collect()
     assert len(rows) == 30 and all(r.same_order for r in rows)
+
+
+def test_triples_are_written_where_they_are(spark, tmp_path):
+    """One predicate of many rows is not gathered in one task."""
+    from pyspark.sql import functions as F
+
+    from meltwise.sources import records
+
+    x = spark.range(0, 4000, 1, 4).select(F.concat(F.lit("s"), "id").alias("s"), F.lit("o").alias("o"), F.lit("data").alias("graph"), F.lit("type").alias("p"))
+    records.replace_triples(x, str(tmp_path / "t"))
+    assert len(list((tmp_path / "t/graph=data/p=type").glob("*.parquet"))) == 4
+    records.replace_triples(x.limit(10), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 10
