@@ -77,3 +77,16 @@ def test_triples_are_written_where_they_are(spark, tmp_path):
     assert len(list((tmp_path / "t/graph=data/p=type").glob("*.parquet"))) == 4
     records.replace_triples(x.limit(10), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 10
+
+
+def test_near_dup_lays_its_grid_over_every_element(spark, tmp_path, monkeypatch):
+    """Compositions that differ only in V, Mn, Si, B, C, Zr, Ru or Cu do not all meet in one cell."""
+    from __spark_entry__ import queries
+    from meltwise.operators import neighbours
+
+    rows = [(e, p, float(q)) for e in range(1500) for p, q in ((14, e % 40 + 1), (15, e % 37 + 1), (16, e % 29 + 1))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen, grid = [], neighbours.near_pairs
+    monkeypatch.setattr(neighbours, "near_pairs", lambda points, eps, dims, **more: seen.append(dims) or grid(points, eps, dims, **more))
+    assert queries()["near_dup"](spark, str(tmp_path)).count() == 1500
+    assert sorted(seen[0]) == list(range(len(neighbours.ELEMENTS)))
