@@ -120,3 +120,19 @@ def test_tolerant_lines(spark):
     assert [r.outcome for r in p.collect()] == ["header", "blank", "json", "literal", "rejected"]
     got = p.where("record is not null").select("record.alloy", F.col("record.composition")["Ni"].alias("ni")).collect()
     assert [(r.alloy, r.ni) for r in got] == [("A", 60.0), ("B", 50.5)]
+
+
+def test_nearest_returns_only_what_is_within_reach_and_carries_columns(spark):
+    """A block searched with a known k-th distance gives back nothing beyond it, and a reference's columns come along."""
+    g = np.random.default_rng(2)
+    pts = np.where(g.random((900, 6)) < 0.6, 0.0, g.integers(1, 40, (900, 6)) * 1.0)
+    ids = np.arange(900)
+    known = np.sort(np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(2)), axis=1)[:, 3]
+    got = [(i, j) for a, b, d in neighbours._within(pts, ids, known, pts, ids, 50, 51, True) for i, j in zip(a, b)]
+    for i, j in got:
+        assert np.sqrt(((pts[i] - pts[j]) ** 2).sum()) <= known[i] + 1e-5
+    refs = vec_table(spark, "rid", list(enumerate(pts.tolist()))).withColumn("tag", F.concat(F.lit("t"), "rid"))
+    rows = neighbours.nearest(vec_table(spark, "qid", list(enumerate(pts.tolist()))), refs, 3, skip_self=True, block=60, carry=("tag",)).collect()
+    assert len(rows) == 2700 and all(r.tag == f"t{r.rid}" for r in rows)
+    far = {(r.qid, r["rank"]): r.distance for r in rows}
+    assert np.allclose([far[i, 3] for i in range(900)], known, atol=1e-6)
