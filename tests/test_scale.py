@@ -90,3 +90,14 @@ def test_near_dup_lays_its_grid_over_every_element(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(neighbours, "near_pairs", lambda points, eps, dims, **more: seen.append(dims) or grid(points, eps, dims, **more))
     assert queries()["near_dup"](spark, str(tmp_path)).count() == 1500
     assert sorted(seen[0]) == list(range(len(neighbours.ELEMENTS)))
+
+
+def test_patterns_store_only_the_triples_they_follow(spark):
+    from meltwise.operators import graph
+    from meltwise.plans import fixtures, source_queries
+
+    t = fixtures.Tables(spark, SF)
+    held = lambda x: {r.p for r in x.select("p").distinct().collect()}
+    assert held(source_queries.composition_triples(t)) == graph.COMPOSITION_CHAIN
+    assert held(source_queries.measurement_triples(t)) == graph.MEASUREMENT_CHAIN
+    assert held(source_queries.measurement_triples(t, graph.POINTS_CHAIN)) == graph.POINTS_CHAIN
