@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 c = F.col
 
 
-def running_count(counts: DataFrame, keys: list[str], value: str, n: str, slices: int = 64) -> DataFrame:
+def running_count(counts: DataFrame, keys: list[str], value: str, n: str, slices: int = 64, few: bool = False) -> DataFrame:
     """Add ``_before``: how many counted rows of the group have a smaller value.
 
     ``counts`` has one row per distinct value. Values are cut into slices by sketch quantiles, the
     slice totals are summed in a tiny window, and the running sum inside a slice is a window
-    partitioned by (keys, slice), so a group spreads over ``slices`` tasks.
+    partitioned by (keys, slice), so a group spreads over ``slices`` tasks. ``few`` says that there are few groups, so that
+    what has a row for each of them, or for their slices, is broadcast.
     """
     slices = max(2, slices)
     probs = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     edges = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_edges"))
-    x = (counts.join(edges, keys) if keys else counts.crossJoin(F.broadcast(edges))).withColumn(
+    small = F.broadcast if few else lambda df: df
+    x = (counts.join(small(edges), keys) if keys else counts.crossJoin(F.broadcast(edges))).withColumn(
         "_slice", F.size(F.filter("_edges", lambda e: e < c(value)))
     ).drop("_edges")
     totals = x.groupBy(*keys, "_slice").agg(F.sum(n).alias("_t"))
@@ -27,7 +29,7 @@ def running_count(counts: DataFrame, keys: list[str], value: str, n: str, slices
     totals = totals.select(*keys, "_slice", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
     inner = W.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     return (
-        x.join(totals, [*keys, "_slice"])
+        x.join(small(totals), [*keys, "_slice"])
         .withColumn("_before", c("_base") + F.coalesce(F.sum(n).over(inner), F.lit(0)))
         .drop("_base", "_slice")
     )

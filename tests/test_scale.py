@@ -101,3 +101,16 @@ def test_patterns_store_only_the_triples_they_follow(spark):
     assert held(source_queries.composition_triples(t)) == graph.COMPOSITION_CHAIN
     assert held(source_queries.measurement_triples(t)) == graph.MEASUREMENT_CHAIN
     assert held(source_queries.measurement_triples(t, graph.POINTS_CHAIN)) == graph.POINTS_CHAIN
+
+
+def test_offsets_deal_no_rows_by_property(spark):
+    """Rows are counted and joined where they are; only counts, brackets and medians are dealt by property."""
+    from meltwise.operators import metrics
+    from pyspark.sql import functions as F
+
+    x = spark.range(0, 5000, 1, 4).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 4999 / 3.0).alias("x"))
+    got = metrics.exact_quantiles(x, ["g"], "x", [0.5], accuracy=100, small=0, few=True)
+    want = {r.g: r.q for r in x.groupBy("g").agg(F.percentile("x", F.lit(0.5)).alias("q")).collect()}
+    assert {r.g: round(r.q500, 9) for r in got.collect()} == {g: round(q, 9) for g, q in want.items()}
+    plan = plan_of(metrics.exact_quantiles(x, ["g"], "x", [0.5], few=True))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
