@@ -87,6 +87,19 @@ def test_bootstrap_repeats_and_brackets(spark):
     assert abs(a.lo - b.lo) < 1e-9 and a.lo <= a.point <= a.hi
 
 
+def test_bootstrap_makes_the_plain_draws_with_blocks_of_any_size(spark):
+    """One block or several, groups smaller than a part, and several tasks in a partition."""
+    rows = [(g, i, 9.0 + (i * 7) % 11, 10.0 + i % 3) for g, n in (("p", 700), ("q", 3), ("r", 256)) for i in range(n)]
+    df = spark.createDataFrame(rows, "property string, entity long, s_new double, s_ref double")
+    whole, blocks = (sorted(metrics.cluster_bootstrap(df, ["property"], 50, b).collect()) for b in (None, 256))
+    assert [r.n_entities for r in whole] == [700, 3, 256]
+    assert all(abs(x - y) < 1e-9 for a, b in zip(whole, blocks, strict=True) for x, y in zip(a[1:], b[1:], strict=True))
+    picks = lambda d, n: [(int(metrics.mixed(np.array([metrics.mixed(np.array([i], np.uint32))[0] ^ metrics.mixed(np.array([d + 0x5BD1E995], np.uint32))[0]]))[0]) * n) >> 32 for i in range(n)]
+    change = lambda e: 100 * (sum(rows[i][2] for i in e) - sum(rows[i][3] for i in e)) / sum(rows[i][3] for i in e)
+    drawn = [change(picks(d, 700)) for d in range(50)]
+    assert abs(whole[0].lo - np.quantile(drawn, 0.025)) < 1e-9 and abs(whole[0].hi - np.quantile(drawn, 0.975)) < 1e-9
+
+
 def test_first_in_list_and_ties(spark):
     m = spark.createDataFrame([(1, "ys", 1, 23, 5.0), (1, "ys", 2, 20, 7.0), (1, "ys", 3, 18, 9.0)], "entity long, property string, pos int, temp_c int, value double")
     rows = spark.createDataFrame([(1, 20)], "entity long, at int")
