@@ -89,6 +89,7 @@ SAMPLE = 8  # every so many sets are counted to order shingles by how common the
 FEW = 4  # pairs left for each held shingle at which rounds end
 SENT = 1 << 23  # shingles that are sent to pairs at a time, or as many as there are least common ones
 ROWS = 500  # texts or sets that a Python worker takes at a time
+MARK = 2048  # bits of a set's mark
 CHUNK = 512  # members of a part of a shingle's documents that is compared with another part as a whole
 
 
@@ -133,6 +134,24 @@ def summary(text: Column, words: int) -> Column:
     return F.pandas_udf(run, "struct<u:long,n:int,fp:long>")(text)
 
 
+def _mark(h: Column) -> Column:
+    """MARK bits of a set as longs: those that the low bits of its members name."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            bits = np.zeros((len(s), MARK), np.uint8)
+            for i, x in enumerate(s):
+                bits[i, np.asarray(x, np.int64) & (MARK - 1)] = 1
+            yield pd.Series(list(np.packbits(bits, axis=1).view(np.int64)))
+
+    return F.pandas_udf(run, "array<long>")(h)
+
+
+def _lacks(a: Column, b: Column) -> Column:
+    """How many members of a set marked ``a`` one marked ``b`` lacks at least: a bit of ``a`` that ``b`` has not stands for a member or more."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
+
+
 def _least_common(sets: DataFrame, similarity: float) -> Column:
     """The least common shingles of a set ``h``, so many that sets of that similarity share one of them.
 
@@ -165,9 +184,11 @@ def similar_sets(sets: DataFrame, similarity: float, proposed: DataFrame | None
     Pairs of ``proposed`` (a, b) come first, so that the join need not bring them together again. For the rest: two such sets share one of their
     least common shingles. All who hold such a shingle are compared with one of them, hash-drawn
     anew each round, while many pairs are left and this brings sets together; then all pairs of a shingle that no link has connected
-    yet are compared, however many. Every link is verified. ``fetch`` gives the sets (u, h) of names (u), if it can do so with less work than
+    yet are compared, however many. Every link is verified: marks of MARK bits leave out what lacks too much of the other, and the
+    sets of the remaining pairs are compared. ``fetch`` gives the sets (u, h) of names (u), if it can do so with less work than
     reading ``sets``; tables of a step go when the next has been written.
     """
+    marks = written(sets.select("u", F.size("h").alias("n"), _mark(F.col("h")).alias("k")).dropDuplicates(["u"]))
     held = sets.select("u", F.size("h").alias("n"), F.posexplode(_least_common(sets, similarity)).alias("i", "s"))
     several = written(held.groupBy("s").agg(F.min("u").alias("x"), F.max("u").alias("y")).where("x <> y").select(F.col("s").alias("_s")))
     held = written(held.join(several, F.col("s") == F.col("_s")).select("s", "u", "n", "i").distinct())
@@ -182,21 +203,27 @@ def similar_sets(sets: DataFrame, similarity: float, proposed: DataFrame | None
     def verified(pairs: DataFrame, edges: DataFrame | None) -> DataFrame:
         """``edges`` with those of ``pairs`` that are alike enough."""
         pairs = written(pairs.distinct())
-        named = written(pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct())
+        ends = lambda df, *cols: [df.select(F.col("u").alias(f"_{x}"), *[F.col(y).alias(f"{y}{x}") for y in cols]) for x in "ab"]
+
+        def met(pairs: DataFrame, one: DataFrame, two: DataFrame, longs: float, fit: Column) -> list[DataFrame]:
+            """Those of ``pairs`` that fit; rows are sent to their pairs, some pairs at a time, so that no more than a share of all shingles is on the way at once."""
+            turns, out = max(1, int(-(-pairs.count() * 2 * longs // max(SENT, size)))), []
+            for i in range(turns):
+                joined = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == i).join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+                out.append(written(joined.where(fit).select("a", "b")))
+            return out
+
+        total = lambda na, nb: similarity * (F.col(na) + F.col(nb)) - 1e-9
+        most = F.least(F.col("na") - _lacks(F.col("ka"), F.col("kb")), F.col("nb") - _lacks(F.col("kb"), F.col("ka")))
+        close = met(pairs, *ends(marks, "n", "k"), MARK // 64, most * (1 + similarity) >= total("na", "nb"))
+        near = reduce(DataFrame.unionByName, close)
+        named = written(near.select(F.col("a").alias("u")).unionByName(near.select(F.col("b").alias("u"))).distinct())
         some = sets.join(named.withColumnRenamed("u", "_n"), F.col("u") == F.col("_n"), "left_semi").select("u", "h") if fetch is None else fetch(named)
-        some = written(some.dropDuplicates(["u"]))
-        one, two = some.select(F.col("u").alias("_a"), F.col("h").alias("ha")), some.select(F.col("u").alias("_b"), F.col("h").alias("hb"))
-        both = F.size(F.array_intersect("ha", "hb"))
-        # sets are sent to their pairs, some pairs at a time, so that no more than a share of all shingles is on the way at once
-        sent = pairs.count() * 2 * (some.agg(F.avg(F.size("h"))).first()[0] or 0)
-        turns = max(1, int(-(-sent // max(SENT, size))))
-        parts = []
-        for i in range(turns):
-            joined = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == i).join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
-            parts.append(written(joined.where(both * (1 + similarity) >= similarity * (F.size("ha") + F.size("hb")) - 1e-9).select("a", "b")))
+        some = written(some.dropDuplicates(["u"]).withColumn("n", F.size("h")))
+        parts = met(near, *ends(some, "n", "h"), some.agg(F.avg("n")).first()[0] or 0, F.size(F.array_intersect("ha", "hb")) * (1 + similarity) >= total("na", "nb"))
         more = reduce(DataFrame.unionByName, parts)
         out = written(more if edges is None else edges.unionByName(more))
-        discard(pairs, named, some, edges, *parts)
+        discard(pairs, named, some, edges, *close, *parts)
         return out
 
     size = held.count()
@@ -225,7 +252,7 @@ def similar_sets(sets: DataFrame, similarity: float, proposed: DataFrame | None
     two = parts.select(F.col("s").alias("s2"), F.col("other").alias("x2"), F.col("mine").alias("y2"), F.col("own").alias("two"))
     meet = (F.col("s1") == F.col("s2")) & (F.col("x1") == F.col("x2")) & (F.col("y1") == F.col("y2")) & (F.col("one.u") < F.col("two.u")) & (F.col("one.g") != F.col("two.g")) & able("one", "two")
     edges = verified(one.join(two, meet).select(F.col("one.u").alias("a"), F.col("two.u").alias("b")), edges)
-    discard(held, labels, mixed)
+    discard(held, marks, labels, mixed)
     return edges
 
 

@@ -362,6 +362,24 @@ def test_near_copies_inside_a_family(spark):
     assert {tuple(x) for x in got.distinct().collect()} == want and set(planted) <= want
 
 
+def test_only_sets_that_may_be_alike_are_fetched(spark):
+    """Pairs that meet at a least common shingle, and by length and place might be alike, but are far apart."""
+    from meltwise.llm.simhash import similar_sets
+
+    r = random.Random(8)
+    sets = {i: [i // 2] + [r.getrandbits(62) for _ in range(200)] for i in range(200)}
+    sets |= {1000 + i: [5000 + i] + sets[i][:-4] for i in range(0, 200, 20)}  # alike by 0.97
+    rows, asked = spark.createDataFrame(list(sets.items()), "u long, h array<long>"), []
+
+    def fetch(names):
+        asked.extend(x.u for x in names.collect())
+        return rows.join(names, "u", "left_semi")
+
+    got = similar_sets(rows, 0.8, spark.createDataFrame([(i, i + 1) for i in range(0, 200, 2)], "a long, b long"), fetch)
+    assert {tuple(x) for x in got.distinct().collect()} == {(i, 1000 + i) for i in range(0, 200, 20)}
+    assert set(asked) == {u for i in range(0, 200, 20) for u in (i, 1000 + i)}
+
+
 def test_near_copies_of_a_large_group_beside_others(spark, monkeypatch):
     from meltwise.llm import simhash
     from meltwise.llm.components import components
