@@ -85,7 +85,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 # Documents alike at word level: fingerprints propose, an exact join of shingle sets decides and completes
 
-SAMPLE = 8  # every so many sets are counted to order shingles by how common they are
+CLASS = 4  # one shingle of so many tells which sets have too much of their own
 FEW = 4  # pairs left for each held shingle at which rounds end
 SENT = 1 << 23  # shingles that are sent to pairs at a time, or as many as there are least common ones
 ROWS = 500  # texts or sets that a Python worker takes at a time
@@ -117,7 +117,7 @@ def shingles(text: Column, words: int) -> Column:
 
 
 def summary(text: Column, words: int) -> Column:
-    """(u, n, fp) of a text's set of shingles: its name, its size, and its SimHash, in which every distinct shingle votes once."""
+    """(u, n, fp, c) of a text's set of shingles: its name, its size, its SimHash, in which every distinct shingle votes once, and the members whose hash CLASS divides."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -127,11 +127,11 @@ def summary(text: Column, words: int) -> Column:
             for t in s:
                 h = shingle_set(t, words)
                 votes = sum((_votes(h[i : i + SLAB].view(np.uint64)) for i in range(0, len(h), SLAB)), np.zeros(BITS, np.int64))
-                rows.append((xxhash.xxh3_64_intdigest(h.tobytes()), len(h), np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0]))
-            u, n, fp = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"u": np.array(u, np.uint64).view(np.int64), "n": np.array(n, np.int32), "fp": np.array(fp, np.uint64).view(np.int64)})
+                rows.append((xxhash.xxh3_64_intdigest(h.tobytes()), len(h), np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0], h[h % CLASS == 0]))
+            u, n, fp, c = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pd.DataFrame({"u": np.array(u, np.uint64).view(np.int64), "n": np.array(n, np.int32), "fp": np.array(fp, np.uint64).view(np.int64), "c": pd.Series(c, dtype=object)})
 
-    return F.pandas_udf(run, "struct<u:long,n:int,fp:long>")(text)
+    return F.pandas_udf(run, "struct<u:long,n:int,fp:long,c:array<long>>")(text)
 
 
 def _mark(h: Column) -> Column:
@@ -152,30 +152,36 @@ def _lacks(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, x: n + x)
 
 
-def _least_common(sets: DataFrame, similarity: float) -> Column:
-    """The least common shingles of a set ``h``, so many that sets of that similarity share one of them.
+def _needed(n: Column, similarity: float) -> Column:
+    """How many members of a set of ``n`` a set of that similarity must hold."""
+    return F.ceil(similarity * n - 1e-9)
 
-    Any fixed order of all shingles makes this true; counts of a sample only keep frequent shingles at its end.
-    """
-    often = max(2, sets.count() // 20_000)
-    seen = sets.where(F.pmod("u", F.lit(SAMPLE)) == 0).select(F.explode("h").alias("s")).groupBy("s").count().where(F.col("count") >= often)
-    seen = sorted(map(tuple, seen.collect()))
-    common = sets.sparkSession.sparkContext.broadcast((np.array([s for s, _ in seen], np.int64), np.array([c for _, c in seen], np.int64)))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        names, counts = common.value
+def may_be_alike(sets: DataFrame, similarity: float) -> DataFrame:
+    """(u) of the sets (``u`` name, ``n`` size, ``c`` some members, chosen by the member alone) that may have another of that similarity.
 
-        def first(h: np.ndarray) -> np.ndarray:
-            n = len(h)
-            if len(names):
-                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-                h = h[np.lexsort((h, np.where(names[at] == h, counts[at], 0)))]
-            return h[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else h
+    A member that no other set holds is in no other; a set with too many of them is like none. Nothing else is left out.
+    """
+    held = sets.select("u", F.explode("c").alias("s")).groupBy("s").agg(F.min("u").alias("x"), F.max("u").alias("y"))
+    own = held.where("x = y").groupBy(F.col("x").alias("_u")).agg(F.count("*").alias("own"))
+    named = sets.groupBy("u").agg(F.first("n").alias("n")).where("n > 0").join(own, F.col("u") == F.col("_u"), "left")
+    return named.where(F.col("n") - F.coalesce("own", F.lit(0)) >= _needed(F.col("n"), similarity)).select("u")
 
-        for s in batches:
-            yield pd.Series([first(np.asarray(h, np.int64)) for h in s])
 
-    return F.pandas_udf(run, "array<long>")(F.col("h"))
+def _least_common(sets: DataFrame, similarity: float) -> DataFrame:
+    """(s, u, n, i): shingles that several sets hold, where they are among the least common of a set ``h``, of which sets of that similarity share one.
+
+    ``i`` is the shingle's place in its set. Any one order of all shingles makes this true; this one goes by the number of rows that hold a
+    shingle, so that those of a single set come first and meet nobody.
+    """
+    each = sets.select("u", F.size("h").alias("n"), F.explode("h").alias("s"))
+    shared = written(each.groupBy("s").agg(F.min("u").alias("x"), F.max("u").alias("y"), F.count("*").alias("c")).where("x <> y").select(F.col("s").alias("_s"), "c"))
+    each = each.join(shared, F.col("s") == F.col("_s")).select("s", "u", "n", "c").distinct()
+    own = Window.partitionBy("u")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "s")) - 1
+    held = written(each.withColumn("i", place.cast("int")).where(F.col("i") <= F.col("n") - _needed(F.col("n"), similarity)).select("s", "u", "n", "i"))
+    discard(shared)
+    return held
 
 
 def similar_sets(sets: DataFrame, similarity: float, proposed: DataFrame | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -189,10 +195,7 @@ def similar_sets(sets: DataFrame, similarity: float, proposed: DataFrame | None
     reading ``sets``; tables of a step go when the next has been written.
     """
     marks = written(sets.select("u", F.size("h").alias("n"), _mark(F.col("h")).alias("k")).dropDuplicates(["u"]))
-    held = sets.select("u", F.size("h").alias("n"), F.posexplode(_least_common(sets, similarity)).alias("i", "s"))
-    several = written(held.groupBy("s").agg(F.min("u").alias("x"), F.max("u").alias("y")).where("x <> y").select(F.col("s").alias("_s")))
-    held = written(held.join(several, F.col("s") == F.col("_s")).select("s", "u", "n", "i").distinct())
-    discard(several)
+    held = _least_common(sets, similarity)
 
     def able(a: str, b: str) -> Column:
         """Whether lengths and places of a shared shingle leave room for the similarity."""
@@ -271,25 +274,25 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
 
     Near-duplicates are texts whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more, and all that
     such links connect. SimHash balls (radius 2, as ``near_duplicates``) propose pairs, which the similarity verifies; a pair alike by 0.8 differs in ten bits
-    of 64 on average, so the exact join finds the others and no pair is missed. Shingles are worked out anew from the texts where they are needed,
-    so that no table holds them all. Texts without words (null, too) are one group. Among repeated rows of one id and text one
+    of 64 on average, so the exact join finds the others and no pair is missed. Sets with too much of their own are like none; the others are worked out anew
+    from their texts, and only they are kept and compared. Texts without words (null, too) are one group. Among repeated rows of one id and text one
     stays. Empty table: no rows.
     """
     key = lambda df: F.xxhash64(F.coalesce(df["text"], F.lit("")))
     with tidy(docs.sparkSession), small_batches(docs.sparkSession, ROWS):
-        rows = written(docs.select(key(docs).alias("k"), "doc_id", summary(docs["text"], words).alias("x")).select("k", "doc_id", "x.u", "x.n", "x.fp"))
+        told = written(docs.select(key(docs).alias("k"), "doc_id", summary(docs["text"], words).alias("x")).select("k", "doc_id", "x.*"))
+        some = written(may_be_alike(told, similarity).withColumnRenamed("u", "_u"))
+        rows = written(told.select("k", "doc_id", "u", "fp"))
+        discard(told)
         # one row speaks for a set; copies are not read again
-        one = written(rows.groupBy("u").agg(F.min(F.struct("k", "doc_id")).alias("o"), F.first("fp").alias("fp"), F.first("n").alias("n")).select("u", "fp", "n", "o.k", "o.doc_id"))
+        one = rows.join(some, F.col("u") == F.col("_u"), "left_semi").groupBy("u").agg(F.min(F.struct("k", "doc_id")).alias("o"), F.first("fp").alias("fp"))
+        one = written(one.select("u", "fp", "o.k", "o.doc_id"))
         texts = docs.select(key(docs).alias("_key"), docs["doc_id"].alias("_own"), docs["text"].alias("_text"))
-
-        def fetch(names: DataFrame) -> DataFrame:
-            some = one.join(names.select(F.col("u").alias("_u")), F.col("u") == F.col("_u")).select("u", "k", "doc_id")
-            met = texts.join(some, (F.col("_key") == F.col("k")) & F.col("_own").eqNullSafe(F.col("doc_id")))
-            return met.select("u", shingles(F.col("_text"), words).alias("h"))
-
-        edges = similar_sets(fetch(one.where("n > 0").select("u")), similarity, _proposals(one.where("n > 0").select("u", "fp")), fetch)
+        met = texts.join(one, (F.col("_key") == F.col("k")) & F.col("_own").eqNullSafe(F.col("doc_id")))
+        sets = written(met.select("u", shingles(F.col("_text"), words).alias("h")))
+        edges = similar_sets(sets, similarity, _proposals(one.select("u", "fp")))
         labels = written(components(edges))
-        discard(edges, one)
+        discard(edges, one, some, sets)
     named = rows.select("k", "doc_id", "u").join(labels.withColumnRenamed("v", "_v"), F.col("u") == F.col("_v"), "left").withColumn("_root", F.coalesce("label", "u"))
     stays = named.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("k").alias("k"))).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.k").alias("_k"))
     kept = pack(docs, _key=key(docs), _own=docs["doc_id"], _order=F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]))

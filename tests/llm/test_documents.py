@@ -362,6 +362,23 @@ def test_near_copies_inside_a_family(spark):
     assert {tuple(x) for x in got.distinct().collect()} == want and set(planted) <= want
 
 
+def test_texts_with_too_much_of_their_own_are_not_compared(spark, monkeypatch):
+    """Of a hundred texts that share a passage only those that can have a near copy are kept for the comparison."""
+    from meltwise.llm import simhash
+
+    passage, seen, real = words(60, 700), [], simhash.similar_sets
+    docs = [(i, f"{passage} {words(2000, 2000 + i, 10**6)}", "x", "s", 0) for i in range(100)]
+    docs += [(500 + i, docs[i][1] + " and more", "x", "s", 0) for i in range(0, 100, 25)]  # alike by 0.99
+
+    def watched(sets, *rest):
+        seen.extend(r.u for r in sets.collect())
+        return real(sets, *rest)
+
+    monkeypatch.setattr(simhash, "similar_sets", watched)
+    assert sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, DOCS)).collect()) == list(range(100))
+    assert len(seen) == len(set(seen)) and 8 <= len(seen) < 20
+
+
 def test_only_sets_that_may_be_alike_are_fetched(spark):
     """Pairs that meet at a least common shingle, and by length and place might be alike, but are far apart."""
     from meltwise.llm.simhash import similar_sets
