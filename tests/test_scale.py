@@ -114,3 +114,48 @@ def test_offsets_deal_no_rows_by_property(spark):
     assert {r.g: round(r.q500, 9) for r in got.collect()} == {g: round(q, 9) for g, q in want.items()}
     plan = plan_of(metrics.exact_quantiles(x, ["g"], "x", [0.5], few=True))
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_vector_search_shuffles_vectors_once(spark):
+    """All rows as queries: what is shuffled stays near the vectors' own size, however many blocks there are."""
+    import numpy as np
+
+    from meltwise.operators.retrieval import cosine_top_k
+
+    m = np.random.default_rng(3).normal(size=(12_000, 64))
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    before = shuffled_bytes(spark)
+    got = cosine_top_k(e.selectExpr("vec_id AS qid", "embedding"), e.selectExpr("vec_id AS rid", "embedding"), 5, skip_self=True)
+    got = {(r.qid, r["rank"]): r.rid for r in got.collect()}
+    assert sum(v for s, v in shuffled_bytes(spark).items() if s not in before) < 4 * m.nbytes
+    m /= np.sqrt((m * m).sum(1))[:, None]
+    for q in range(0, 12_000, 1_000):
+        near = m @ m[q]
+        near[q] = -2
+        assert [got[q, i] for i in range(1, 6)] == np.argsort(-near)[:5].tolist()
+
+
+def test_nearest_of_all_on_ties_copies_and_zeros(spark):
+    import numpy as np
+
+    from meltwise.operators.retrieval import cosine_top_k
+
+    r = np.random.default_rng(4)
+    m = np.round(r.normal(size=(150, 3)))  # many vectors of one direction, and some without any
+    m[100:140] = [1.0, 2.0, 2.0]
+    m[7] = 0.0
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    for k in (1, 5):
+        got = cosine_top_k(e.selectExpr("vec_id AS qid", "embedding"), e.selectExpr("vec_id AS rid", "embedding"), k, skip_self=True).collect()
+        size = np.sqrt((m * m).sum(1))[:, None]
+        unit = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+        far = np.sqrt(((unit[:, None] - unit[None]) ** 2).sum(2)).round(9)
+        want = {(q, i + 1): x for q in range(150) for i, x in enumerate([x for x in np.lexsort((np.arange(150), far[q])) if x != q][:k])}
+        assert {(x.qid, x["rank"]): x.rid for x in got} == want
