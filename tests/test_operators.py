@@ -5,7 +5,7 @@ import statistics
 import numpy as np
 from pyspark.sql import functions as F
 
-from meltwise.operators import correct, joins, metrics, neighbours, ranks
+from meltwise.operators import correct, graph, joins, metrics, neighbours, ranks
 from meltwise.sources.records import parse_tolerant
 
 
@@ -149,3 +149,13 @@ def test_nearest_returns_only_what_is_within_reach_and_carries_columns(spark):
     assert len(rows) == 2700 and all(r.tag == f"t{r.rid}" for r in rows)
     far = {(r.qid, r["rank"]): r.distance for r in rows}
     assert np.allclose([far[i, 3] for i in range(900)], known, atol=1e-6)
+
+
+def test_compositions_fall_back_to_the_nominal_value(spark):
+    quantities = {"Ni": [("numericValue", "55.5"), ("nominal", "50"), ("nominal", "51")], "Cr": [("nominal", "20")], "Al": [("numericValue", "bal."), ("nominal", "5")], "W": [("unitSymbol", "%")]}
+    rows = [("variant/1", "hasComposition", "comp/1")]
+    for e, values in quantities.items():
+        rows += [("comp/1", "hasComponent", f"entry/1_{e}"), (f"entry/1_{e}", "element", f"element/{e}"), (f"entry/1_{e}", "hasMassFraction", f"quantity/1_{e}"), (f"element/{e}", "label", e)]
+        rows += [(f"quantity/1_{e}", p, o) for p, o in values]
+    got = graph.compositions_from(spark.createDataFrame(rows, "s string, p string, o string")).collect()
+    assert sorted(map(tuple, got)) == [("variant/1", "Al", 5.0), ("variant/1", "Cr", 20.0), ("variant/1", "Ni", 55.5)]
