@@ -159,3 +159,34 @@ def test_compositions_fall_back_to_the_nominal_value(spark):
         rows += [(f"quantity/1_{e}", p, o) for p, o in values]
     got = graph.compositions_from(spark.createDataFrame(rows, "s string, p string, o string")).collect()
     assert sorted(map(tuple, got)) == [("variant/1", "Al", 5.0), ("variant/1", "Cr", 20.0), ("variant/1", "Ni", 55.5)]
+
+
+def test_a_block_is_searched_exactly_with_few_comparisons(monkeypatch):
+    rng = np.random.default_rng(4)
+    m = np.concatenate([rng.random((12000, 4)), np.repeat(rng.random((3, 4)), 200, axis=0)])
+    ids, few = rng.permutation(len(m)), np.arange(0, len(m), 3)
+    known = np.where(few % 2 == 0, np.inf, 0.1)
+    compared = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def nonzero(self, x):
+            compared.append(x.size if x.ndim == 2 else 0)
+            return np.nonzero(x)
+
+        def flatnonzero(self, x):
+            compared.append(x.size if x.ndim == 2 else 0)
+            return np.flatnonzero(x)
+
+    monkeypatch.setattr(neighbours, "np", Counting())
+    got = {i: [] for i in range(len(few))}
+    for i, j, d in neighbours._within(m[few], ids[few], known, m, ids, 3, 4, True):
+        for a, b, x in zip(i, j, d):
+            got[a].append((round(x, 9), ids[b]))
+    for a in range(0, len(few), 40):
+        d = np.sqrt(((m - m[few[a]]) ** 2).sum(1))
+        near = [x for x in np.lexsort((ids, d.round(9))) if ids[x] != ids[few[a]] and d[x] <= known[a]][:3]
+        assert [x for _, x in got[a]] == list(ids[near])
+    assert sum(compared) / len(few) < 2500
