@@ -169,9 +169,9 @@ def may_be_alike(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _least_common(sets: DataFrame, similarity: float) -> DataFrame:
-    """(s, u, n, i): shingles that several sets hold, where they are among the least common of a set ``h``, of which sets of that similarity share one.
+    """(u, n, x): of each set ``h`` the shingles that several sets hold and that are among its least common, of which sets of that similarity share one.
 
-    ``i`` is the shingle's place in its set. Any one order of all shingles makes this true; this one goes by the number of rows that hold a
+    ``x`` is a list of (s, i), ``i`` the shingle's place in its set. Any one order of all shingles makes this true; this one goes by the number of rows that hold a
     shingle, so that those of a single set come first and meet nobody.
     """
     each = sets.select("u", F.size("h").alias("n"), F.explode("h").alias("s"))
@@ -179,7 +179,8 @@ def _least_common(sets: DataFrame, similarity: float) -> DataFrame:
     each = each.join(shared, F.col("s") == F.col("_s")).select("s", "u", "n", "c").distinct()
     own = Window.partitionBy("u")
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "s")) - 1
-    held = written(each.withColumn("i", place.cast("int")).where(F.col("i") <= F.col("n") - _needed(F.col("n"), similarity)).select("s", "u", "n", "i"))
+    some = each.withColumn("i", place.cast("int")).where(F.col("i") <= F.col("n") - _needed(F.col("n"), similarity))
+    held = written(some.groupBy("u").agg(F.first("n").alias("n"), F.collect_list(F.struct("s", "i")).alias("x")))
     discard(shared)
     return held
 
@@ -229,7 +230,7 @@ def similar_sets(sets: DataFrame, similarity: float, proposed: DataFrame | None
         discard(pairs, named, some, edges, *close, *parts)
         return out
 
-    size = held.count()
+    size = held.agg(F.sum(F.size("x"))).first()[0] or 0
     edges, known, turn = verified(proposed, None) if proposed is not None else None, -1, 0
     labels = mixed = None
     while True:
@@ -238,6 +239,8 @@ def similar_sets(sets: DataFrame, similarity: float, proposed: DataFrame | None
             discard(labels)
             labels = written(components(edges)).withColumnRenamed("v", "_v")
             now, found = held.join(labels, F.col("u") == F.col("_v"), "left").withColumn("g", F.coalesce("label", "u")).drop("_v", "label"), edges.count()
+        # labels meet sets, not each of their shingles
+        now = now.select("u", "n", "g", F.explode("x").alias("x")).select("x.s", "u", "n", "x.i", "g")
         drawn = F.struct(F.xxhash64(F.lit(turn), F.col("u")).alias("o"), "u", "g", "n", "i")
         mixed = now.groupBy("s", "g").agg(F.count("*").alias("m"), F.min(drawn).alias("hub")).groupBy("s").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"), F.min("hub").alias("hub"))
         mixed = written(mixed.where("m * m > q").select(F.col("s").alias("_s"), "m", "q", "hub"))

@@ -397,6 +397,15 @@ def test_only_sets_that_may_be_alike_are_fetched(spark):
     assert set(asked) == {u for i in range(0, 200, 20) for u in (i, 1000 + i)}
 
 
+def test_least_common_shingles_of_a_set_are_one_row(spark):
+    from meltwise.llm import simhash
+
+    sets = {u: [*range(100, 140), *range(1000 * u, 1000 * u + 4)] for u in range(1, 30)}  # 44 members, 9 of them least common
+    got = simhash._least_common(spark.createDataFrame(list(sets.items()), "u long, h array<long>"), 0.8).collect()
+    assert sorted(r.u for r in got) == sorted(sets) and {r.n for r in got} == {44}
+    assert all(sorted((x.i, x.s) for x in r.x) == [(i, 96 + i) for i in range(4, 9)] for r in got)
+
+
 def test_near_copies_of_a_large_group_beside_others(spark, monkeypatch):
     from meltwise.llm import simhash
     from meltwise.llm.components import components
